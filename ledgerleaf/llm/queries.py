@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, simhash, tokens
+from . import ann, chat, decontam, html, langid, mixing, pii, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,21 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose vec_id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a model of all trusted documents, and whether it stays."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie in 10-word windows of benchmark items."""
     return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -32,6 +47,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+#: The key of the registered query; a real run takes its own from a secret store.
+PII_KEY = b"ledgerleaf-demonstration-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced by linked pseudonyms."""
+    return pii.redact(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash fingerprint and near-duplicate component."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -75,5 +99,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontamination, op5_language_id, op7_simhash, op8_token_output, op9_chat_format, op10_mixing)
+    f.__name__: f for f in (op1_ann, op2_quality, op3_html_text, op4_decontamination, op5_language_id, op6_pii, op7_simhash, op8_token_output, op9_chat_format, op10_mixing)
 }

@@ -150,6 +150,18 @@ def _grow(fps: np.ndarray, index: np.ndarray, tau: int) -> tuple[np.ndarray, np.
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64),) * 2
 
 
+def _heads(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that the links u-v reach."""
+    head = np.arange(n)
+    while True:
+        low, before = np.minimum(head[u], head[v]), head.copy()
+        np.minimum.at(head, u, low)
+        np.minimum.at(head, v, low)
+        head = head[head]
+        if (head == before).all():
+            return head
+
+
 def _links(bucket: np.ndarray, fps: np.ndarray, index: np.ndarray, tau: int) -> pa.RecordBatch:
     """Verified links of whole buckets; rows come sorted by bucket, members with their own key (index) first."""
     edges = np.flatnonzero(np.diff(bucket)) + 1
@@ -162,14 +174,19 @@ def _links(bucket: np.ndarray, fps: np.ndarray, index: np.ndarray, tau: int) ->
         vs.append(v)
     little = np.repeat(sizes <= SMALL, sizes)
     bucket, fps, index = bucket[little], fps[little], index[little]
+    ends = []
     for shift in range(1, min(SMALL, len(bucket))):
         same = (bucket[shift:] == bucket[:-shift]) & index[:-shift]
         if not same.any():
             break
         at = np.flatnonzero(same)
         at = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= tau]
-        us.append(fps[at])
-        vs.append(fps[at + shift])
+        ends.append((at, at + shift))
+    if ends:
+        head = _heads(len(fps), *map(np.concatenate, zip(*ends, strict=True)))
+        moved = np.flatnonzero(head != np.arange(len(fps)))
+        us.append(fps[moved])
+        vs.append(fps[head[moved]])
     u, v = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (us, vs))
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
