@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that cleaning maps one to one; what has no counterpart is dropped.
 SUPERSCRIPTS, SUPERSCRIPT_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
@@ -92,7 +93,7 @@ def term_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b(not|no|never|without|before|after|until|during|next|last)\b"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_text(text: pd.Series) -> pd.Series:
     """Unicode NFC and single blanks; nulls stay."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))

@@ -29,10 +29,11 @@ def distinct_turns(turns: DataFrame, keys: list[str], lateness: str = "1 hour")
     return turns.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: int) -> DataFrame:
+def rate_limit_stream(events: DataFrame, limit: int, window_s: int, lateness: str = "10 minutes") -> DataFrame:
     """(person, event_id, admitted, wait_s) of events (person, event_id, ts), as they come, in the order of each batch's ts.
 
-    A person's state is the times of at most ``limit`` admitted events, and goes after an idle window of processing time.
+    A person's state is the times of at most ``limit`` admitted events, and goes once the watermark is a window past
+    them. Events later than ``lateness`` are dropped.
     """
     window = window_s * 1_000_000
 
@@ -50,11 +51,11 @@ def rate_limit_stream(events: DataFrame, limit: int, window_s: int) -> DataFrame
             if admitted:
                 times.append(r.at)
         state.update((times,))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(int(max(rows["at"].max() // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(out, columns=["person", "event_id", "admitted", "wait_s"])
 
-    timed = events.select("person", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return timed.groupBy("person").applyInPandasWithState(step, "person long, event_id long, admitted boolean, wait_s long", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select("person", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("person").applyInPandasWithState(step, "person long, event_id long, admitted boolean, wait_s long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
