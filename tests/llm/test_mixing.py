@@ -17,10 +17,14 @@ def fill(children, budget):
     return {k: min(c, w * high) for k, (w, c) in children.items()}
 
 
-def slow_mix(data, weights, share, epochs, seed):
+def by_name(lang, source):
+    return "s" if (source or "") < "src2" else "t", lang, source
+
+
+def slow_mix(data, weights, share, epochs, seed, path=by_name):
     leaf = defaultdict(list)
     for i, text, lang, source, *_ in data:
-        leaf["s" if (source or "") < "src2" else "t", lang, source].append((i, max(1, -(-len((text or "").encode()) // 4))))
+        leaf[path(lang, source)].append((i, max(1, -(-len((text or "").encode()) // 4))))
     cap = {p: epochs * sum(t for _, t in d) for p, d in leaf.items()}
     shares = {(): share * sum(cap.values()) / epochs}
     for depth in range(3):
@@ -43,7 +47,7 @@ def slow_mix(data, weights, share, epochs, seed):
     return sorted(out, key=str)
 
 
-def _run(spark, table, share, epochs, buckets=mixing.ROWS_IN_BUCKET):
+def _run(spark, table, share, epochs):
     path = {"d": F.when(F.coalesce("source", F.lit("")) < "src2", "s").otherwise("t"), "l": F.col("lang"), "source": F.col("source")}
     weights = {"d": spark.createDataFrame([("s", 3.0), ("t", 1.0)], "d string, weight double"), "l": spark.createDataFrame([("s", "en", 2.0), ("t", "de", 0.0), ("s", None, 5.0)], "d string, l string, weight double")}
     return mixing.mix(table, path, weights, share, epochs, seed=9)
