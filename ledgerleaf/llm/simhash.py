@@ -25,6 +25,8 @@ BLOCK = 8192
 SMALL = 64
 #: One row of an index costs about as much as this many comparisons of fingerprints.
 ROW_COST = 400
+#: No part makes more keys of one fingerprint than this.
+MAX_KEYS = 4096
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -120,7 +122,7 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[Part]:
             for t in range(min(tau, width) + 1):
                 rows = 1 + (sum(comb(width, k) for k in range(1, t + 1)) / 2)
                 chance = max((near <= t).mean() if len(near) else 0.0, sum(comb(width, k) for k in range(t + 1)) / 2**width)
-                cost.append(n * n / 2 * chance + ROW_COST * n * rows)
+                cost.append(n * n / 2 * chance + ROW_COST * n * rows if rows <= MAX_KEYS else float("inf"))
             costs.append(cost)
         found = allocate(costs, tau - m + 1)
         choices.append((found[0], [Part(mask, t) for mask, t in zip(masks, found[1], strict=True) if t >= 0]))
@@ -198,6 +200,8 @@ def links(distinct: DataFrame, tau: int = 4) -> DataFrame:
     """
     spark = distinct.sparkSession
     n = distinct.count()
+    if n < 2:
+        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     rows = distinct.orderBy(F.xxhash64(F.lit("sample"), "fp"), "fp").limit(SAMPLE).collect()
     parts = plan(np.array([r.fp for r in rows], np.int64).view(np.uint64), n, tau)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
