@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerleaf.llm import decontam, langid, mixing, simhash, tokens
 from ledgerleaf.llm.common import new_dir
@@ -17,8 +16,7 @@ MIX_SHARE = 0.9
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, no text, or no language that is likelier than all others."""
-    found = langid.identify(docs, langid.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return langid.keep_known(docs, langid.train(docs), LEAST_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    hit = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0")
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

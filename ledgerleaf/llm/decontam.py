@@ -95,6 +95,36 @@ def contamination_by_join(docs: DataFrame, items: DataFrame, size: int = WINDOW)
     )
 
 
+def _usable(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _too_large(items: DataFrame, most: int) -> bool:
+    return (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > most
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs.
+
+    Each task filters its own rows, so texts aren't shuffled; only items too large to broadcast need a join. Rows of one
+    doc_id then stand or fall together.
+    """
+    items = _usable(items)
+    if _too_large(items, max_item_bytes):
+        hit = contamination_by_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, size).where("n_hit > 0")
+        return docs.join(hit.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    known, at_text = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(known.value, size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield part.filter(pa.array([scan(t, found)[1] == 0 for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """Which words of each document lie inside test items.
 
@@ -103,8 +133,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_ite
     text). Null and empty texts have no words; without items nothing is hit; repeated rows stay. Items of more than
     ``max_item_bytes`` in all go through ``contamination_by_join``, which has no spans.
     """
-    docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > max_item_bytes:
+    docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _usable(items)
+    if _too_large(items, max_item_bytes):
         return contamination_by_join(docs, items, size)
     known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 

@@ -47,3 +47,11 @@ def test_spans_lie_in_the_original_text():
 def test_empty_tables(spark):
     assert _rows(decontam.contamination(docs(spark, []), _items(spark))) == []
     assert {r[2] for r in _rows(decontam.contamination(docs(spark), _items(spark, [])))} == {0}
+
+
+def test_keep_clean_keeps_all_columns(spark):
+    table = docs(spark)
+    want = sorted((tuple(r) for r in table.collect() if decontam.brute_force(r.text, ITEMS[:5])[1] == 0), key=str)
+    for most in (decontam.MAX_ITEM_BYTES, 0):
+        kept = decontam.keep_clean(table, _items(spark, ITEMS[:5]), max_item_bytes=most)
+        assert kept.columns == table.columns and sorted(map(tuple, kept.collect()), key=str) == want
