@@ -208,7 +208,8 @@ def search(table: DataFrame, is_query: F.Column, k: int = 20, probe_ratio: float
                 vectors = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 row, lists = index.value.probes(vectors, probe_ratio)
                 known = vectors @ index.value.sample.T
-                floor = -np.partition(-known, k, axis=1)[:, k] if known.shape[1] > k else np.full(len(vectors), -np.inf)
+                at_least = 3 * k  # far enough down that the lists read still fill k places, whatever they miss
+                floor = -np.partition(-known, at_least, axis=1)[:, at_least] if known.shape[1] > at_least else np.full(len(vectors), -np.inf)
                 found = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), found.column(0), pa.array(floor[row]), found.column(1)], names=["list", "qvec", "floor", "vec"])
 
