@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date
 from hashlib import blake2b
+from itertools import takewhile
 from math import isqrt
 
 import pyarrow as pa
@@ -29,6 +30,24 @@ _PATTERNS = {
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
+#: A card number right behind a dash, within a longer run of digits.
+_BEHIND_DASH = re.compile(_PATTERNS["card"].removeprefix(r"(?<![\w.-])"))
+_TOKEN = re.compile(r"\w+|.", re.DOTALL)
+#: How far a card number or an IBAN, with its separators, can reach.
+REACH = 64
+#: The lengths of IBANs that countries have registered.
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_IBAN_LENGTH = {c: n for n, codes in IBAN_LENGTHS.items() for c in codes}
+#: Whether a pseudonym would be found again at the same place, among the same neighbours.
+Fits = Callable[[str], bool]
 _MAY = re.compile(r"[0-9@=:]")
 DIGITS = "0123456789"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,7 +145,7 @@ def _write_date(day: int, form: str, like: str) -> str:
     return mark.join((wide.format(first), wide.format(second), f"{d.year:04d}"))
 
 
-def _date(text: str, key: bytes, back: bool) -> str | None:
+def _date(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     read = _read_date(text)
     if read is None or not FIRST_DAY <= read[0] <= LAST_DAY:
         return None
@@ -137,24 +156,25 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
             return out
 
 
-def _card(text: str, key: bytes, back: bool) -> str | None:
+def _card(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
     if not luhn(digits) or len(set(digits)) == 1:
         return None
     step = lambda d: d[0] + permute_text(d[1:], key, f"card:{d[0]}", back)
     checked = lambda d: next(d + c for c in DIGITS if luhn(d + c))
-    return _fill(text, checked(_walk(digits[:-1], step, lambda d: len(set(checked(d))) > 1)))
+    return _fill(text, checked(_walk(digits[:-1], step, lambda d: len(set(checked(d))) > 1 and fits(_fill(text, checked(d))))))
 
 
-def _iban(text: str, key: bytes, back: bool) -> str | None:
+def _iban(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
         return None
-    account = permute_text(plain[4:], key, f"iban:{plain[:2]}", back)
-    return _fill(text, f"{plain[:2]}{98 - _iban_rest(f'{plain[:2]}00{account}'):02d}{account}")
+    step = lambda a: permute_text(a, key, f"iban:{plain[:2]}", back)
+    checked = lambda a: _fill(text, f"{plain[:2]}{98 - _iban_rest(f'{plain[:2]}00{a}'):02d}{a}")
+    return checked(_walk(plain[4:], step, lambda a: fits(checked(a))))
 
 
-def _ip(text: str, key: bytes, back: bool) -> str | None:
+def _ip(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
@@ -162,12 +182,12 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def _email(text: str, key: bytes, back: bool) -> str | None:
+def _email(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     local, _, domain = text.rpartition("@")
     return f"{permute_text(local, key, f'email:{domain}', back)}@{domain}"
 
 
-def _phone(text: str, key: bytes, back: bool) -> str | None:
+def _phone(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
     if not 7 <= len(digits) <= 15:
         return None
@@ -175,12 +195,12 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return _fill(text, digits[:head] + permute_text(digits[head:], key, f"phone:{digits[:head]}", back))
 
 
-def _ssn(text: str, key: bytes, back: bool) -> str | None:
+def _ssn(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     digits = text.replace("-", "")
     return _fill(text, _walk(digits, lambda d: permute_text(d, key, "ssn", back), _ssn_ok)) if _ssn_ok(digits) else None
 
 
-def _secret(text: str, key: bytes, back: bool) -> str | None:
+def _secret(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     at = max(text.rfind('"'), text.rfind("'")) + 1
     return text[:at] + permute_text(text[at:], key, "secret", back)
 
@@ -188,21 +208,129 @@ def _secret(text: str, key: bytes, back: bool) -> str | None:
 KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
+def _card_ends(text: str) -> Iterator[int]:
+    """Where a card number at the start of a run of digits may end: behind 19 to 13 digits, at the end of a group."""
+    ends, n = [], 0
+    for m in re.finditer(r"\d+", text):
+        n += len(m[0])
+        if 13 <= n <= 19:
+            ends.append(m.end())
+    return reversed(ends)
+
+
+def _iban_ends(text: str) -> Iterator[int]:
+    """Where an IBAN may end: at its country's length, else at the end of a group, the longest first."""
+    places = [i for i, c in enumerate(text) if c != " "]
+    own = _IBAN_LENGTH.get(text[:2], 0)
+    if 0 < own <= len(places):
+        yield places[own - 1] + 1
+    yield from (i for i in range(len(text), 0, -1) if text[i - 1] != " " and text[i : i + 1] in ("", " "))
+
+
+def _valid(kind: str, text: str) -> bool:
+    """Whether a value passes its kind's check."""
+    plain = text.replace(" ", "")
+    if kind == "card":
+        digits = "".join(c for c in text if c.isdigit())
+        return luhn(digits) and len(set(digits)) > 1
+    if kind == "iban":
+        return 15 <= len(plain) <= 34 and _iban_rest(plain) == 1
+    if kind == "date":
+        read = _read_date(text)
+        return read is not None and FIRST_DAY <= read[0] <= LAST_DAY
+    if kind == "ip":
+        return all(int(p) <= 255 and (len(p) == 1 or p[0] != "0") for p in text.split("."))
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in text) <= 15
+    return kind != "ssn" or _ssn_ok(text.replace("-", ""))
+
+
+_ENDS = {"card": _card_ends, "iban": _iban_ends}
+
+
+def _value(m: re.Match, kind: str) -> tuple[str, int, int] | None:
+    """The kind, start and end of the value at a match's start, if one passes its check."""
+    for n in _ENDS[kind](m[0]) if kind in _ENDS else (len(m[0]),):
+        if _valid(kind, m[0][:n]):
+            return kind, m.start(), m.start() + n
+    return None
+
+
+def spans(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of each value from ``at`` on; behind a match without one the search goes on at its next token."""
+    while m := _ANY.search(text, at):
+        kinds = list(_EACH)
+        found = _value(m, m.lastgroup)
+        for kind in kinds[kinds.index(m.lastgroup) + 1 :]:
+            if found is None and (other := _EACH[kind].match(text, m.start())):
+                found = _value(other, kind)
+        at = _TOKEN.match(text, m.start()).end()
+        while found is None and text[at : at + 1] == "-" and m.lastgroup in ("card", "phone", "date", "ssn") and (m2 := _BEHIND_DASH.match(text, at + 1)):
+            found = _value(m2, "card")
+            at = _TOKEN.match(text, at + 1).end()
+        if found:
+            yield found
+            at = found[2]
+
+
 def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
-    """The text with its values replaced, and each one's kind, start and end in the original, in code points."""
+    """The text with its values replaced, and each one's kind, start and end in the original, in code points.
+
+    Values are replaced from the last to the first and restored from the first to the last, so that in both directions
+    a value stands between original text and pseudonyms; those that would move a value's border are walked past.
+    """
     if not text or not _MAY.search(text):
         return text, []
-    out, found, at = [], [], 0
-    for m in _ANY.finditer(text):
-        new = KINDS[m.lastgroup](m[0], key, back)
-        if new is None and m.lastgroup == "iban":
-            continue
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((m.lastgroup, m.start(), m.end()))
-    out.append(text[at:])
-    return "".join(out), found
+    found = list(spans(text))
+    if back:
+        return _restored(text, key, found), found
+    out, right, end = [], "", len(text)
+    for i in reversed(range(len(found))):
+        kind, a, b = found[i]
+        right = (text[b:end] + right)[:REACH]
+        base = _base(found[: i + 1], a) if kind in _ENDS else a
+        new = KINDS[kind](text[a:b], key, False, _fits(text[max(base - 1, 0) : a], text[a:b], right, min(base, 1)))
+        out += [text[b:end], new]
+        right, end = (new + right)[:REACH], a
+    return "".join([text[:end], *reversed(out)]), found
+
+
+def _restored(text: str, key: bytes, found: list[tuple[str, int, int]]) -> str:
+    """The original of ``text``, whose values are at ``found``."""
+    out, old, left, off, end = [], [], "", 0, 0
+    for kind, a, b in found:
+        left += text[end:a]
+        at = off + len(left)
+        old.append((kind, at, at))
+        base = _base(old, at) if kind in _ENDS else at
+        new = KINDS[kind](text[a:b], key, True, _fits(left[max(base - 1, 0) - off :], text[a:b], text[b : b + REACH], min(base, 1)))
+        out += [text[end:a], new]
+        left, end = left + new, b
+        old[-1] = (kind, at, at + len(new))
+        keep = max(_base([*old, ("", at + len(new), 0)], at + len(new)) - 1, off)
+        left, off = left[keep - off :], keep
+    return "".join([*out, text[end:]])
+
+
+def _base(found: list[tuple[str, int, int]], at: int) -> int:
+    """From where to search so that what may reach the last value, which begins at ``at``, is found."""
+    j = len(found) - 1
+    while j and found[j - 1][2] > at - REACH:
+        j -= 1
+    return max(found[j - 1][2] if j else 0, found[j][1] - REACH)
+
+
+def _fits(left: str, old: str, right: str, at: int) -> Fits:
+    """Whether a value in place of ``old`` leaves the borders of all values up to it as they are."""
+    head = lambda value: [*takewhile(lambda s: s[1] <= len(left), spans(left + value + right, at))]
+    want = None
+
+    def fits(new: str) -> bool:
+        nonlocal want
+        want = head(old) if want is None else want
+        return head(new) == want
+
+    return fits
 
 
 def restore(text: str | None, key: bytes) -> str | None:
@@ -214,7 +342,8 @@ def redact(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_pii, pii): every whole text with its personal values replaced by pseudonyms under ``key``.
 
     Takes doc_id and text; other columns are ignored. Null texts stay null; texts without such values stay as they
-    are; repeated rows stay. ``pii`` lists kind, start and end in the original text. Values that fail their check
+    are; repeated rows stay. ``pii`` lists kind, start and end in the original text. Where what looks like a card number or
+    an IBAN fails its check, its shorter ends and later starts are tried. Values that fail their check
     (a card's check digit, an address above 255, no such day) aren't personal values and stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(key)

@@ -46,3 +46,32 @@ def test_redact_edges(spark):
     assert got == sorted(((i, *((lambda p: (p[0], len(p[1])))(pii.pseudonymise(t, KEY)))) for i, t, *_ in data), key=str)
     assert dict((i, t) for i, t, _ in got)[5] is None
     assert pii.redact(docs(spark, []), KEY).count() == 0
+
+
+def test_values_with_digits_or_capitals_behind_or_before_them():
+    card = "4111 1111 1111 1111"
+    cases = [
+        (f"card {card} 12/26", [card]),
+        (f"card {card} 123", [card]),
+        (f"card {card} 12/12/2026", [card, "12/12/2026"]),
+        (f"no 12 {card} or 12-4111-1111-1111-1111", [card, "4111-1111-1111-1111"]),
+        ("IBAN ES91 2100 0418 4502 0005 1332 EUR", ["ES91 2100 0418 4502 0005 1332"]),
+        ("IBAN ES9121000418450200051332EUR", ["ES9121000418450200051332"]),
+        (f"BE68 5390 0754 7034 VISA {card}", ["BE68 5390 0754 7034", card]),
+    ]
+    for text, want in cases:
+        out, found = pii.pseudonymise(text, KEY)
+        assert [text[a:b] for _, a, b in found] == want
+        assert not any(w in out for w in want) and pii.restore(out, KEY) == text
+
+
+def _card(stem):
+    return next(stem + c for c in pii.DIGITS if pii.luhn(stem + c))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text("0123456789", min_size=1, max_size=4), st.text("123456789", min_size=12, max_size=18).map(_card), st.sampled_from(["4111 1111 1111 1111", "BE68 5390 0754 7034", "EUR", "VISA", "12/26", "97.5.1.173", "1980-02-29"])), max_size=8), st.sampled_from([" ", "-", ", "]))
+def test_neighbours_are_restored(parts, mark):
+    text = mark.join(parts)
+    out, found = pii.pseudonymise(text, KEY)
+    assert pii.restore(out, KEY) == text and [k for k, *_ in pii.pseudonymise(out, KEY)[1]] == [k for k, *_ in found]
