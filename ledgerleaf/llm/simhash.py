@@ -50,17 +50,20 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text, as a signed long. Null and empty texts get 0."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *also): the fingerprint of every row's whole text, as a signed long. Null and empty texts get 0.
+
+    ``also`` names columns of longs that are handed through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fps = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 @dataclass(frozen=True)
@@ -244,6 +247,13 @@ def links(distinct: DataFrame, tau: int = 4) -> DataFrame:
     return probes.select(*order, "probe", "fp").repartition(width, *order).sortWithinPartitions(*order, "probe").mapInArrow(run, "u long, v long").distinct()
 
 
+def _reach(distinct: DataFrame, tau: int) -> DataFrame:
+    """(fp, first, root): each distinct fingerprint with the one that names its component."""
+    distinct = cut(distinct)
+    roots = connected_components(links(distinct.select("fp"), tau))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     """Every row's fingerprint and near-duplicate component.
 
@@ -253,10 +263,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     can't name a component. Exact copies are one fingerprint, so a group of them takes no comparisons.
     """
     fps = cut(fingerprints(docs, width))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = cut(distinct)
-    roots = connected_components(links(distinct.select("fp"), tau))
-    reach = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    reach = _reach(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), tau)
     least = reach.groupBy("root").agg(F.min("first").alias("component_id"))
     member = reach.join(least, "root").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
+    """One row of each near-duplicate component, with all its columns.
+
+    Takes doc_id and text. The row with the least doc_id stays; rows without one come last, and rows that share it go by
+    a hash of the whole row, so any run keeps the same row. Ids needn't be known or unique: rows are told apart by two
+    hashes of all their columns, and of fully equal rows one stays. Rows without text are one component.
+    """
+    names = ("_row_a", "_row_b")
+    whole = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # hashes pass over nulls
+    keyed = docs.withColumns({n: F.xxhash64(F.lit(i), *whole) for i, n in enumerate(names)})
+    fps = cut(fingerprints(keyed, width, also=names))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *names)
+    reach = _reach(fps.groupBy("fp").agg(F.min(first).alias("first")), tau)
+    keep = reach.groupBy("root").agg(F.min("first").alias("first")).select("first._row_a", "first._row_b")
+    return keyed.join(keep, [*names], "left_semi").dropDuplicates([*names]).select(*docs.columns)

@@ -51,3 +51,16 @@ def test_stages_keep_the_columns_and_take_nothing(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, folder).columns == table.columns, name
         assert stage(spark, table.limit(0), folder).count() == 0, name
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Rows without an id, and different texts under one id."""
+    mixed = lambda k: f"{EN} number {k} " + " ".join(f"word{(k * 7 + j * j) % 97}" for j in range(40))
+    data = [(None, mixed(1)), (None, mixed(2)), (None, mixed(2)), (1, mixed(3)), (5, mixed(3)), (5, mixed(4)), (6, mixed(5)), (6, mixed(5)), (None, mixed(5)), (7, mixed(6)), (7, mixed(7))]
+    table = docs(spark, [(i, t, "en", "s", 1, "", 0, "", "") for i, t in data])
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table.repartition(5), "").collect()), key=str)
+    assert got == sorted([(None, mixed(1)), (None, mixed(2)), (1, mixed(3)), (5, mixed(4)), (6, mixed(5)), (7, mixed(6)), (7, mixed(7))], key=str)
+
+
+def test_a_row_without_id_reaches_the_end(spark, folder):
+    assert [r[0] for r in corpus_pipeline.run(spark, folder).collect()].count(None) == 1
