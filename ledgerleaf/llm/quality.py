@@ -22,10 +22,10 @@ from .common import cut
 
 SYMBOLS, ORDER = 48, 4
 OTHER, CAPITAL, START = 0, 1, 2
-#: Quantiles of the trusted rows' perplexity, per language, and how far beyond them a document may lie.
-LOW_QUANTILE, HIGH_QUANTILE, MARGIN = 0.002, 0.998, 0.05
-#: A document of fewer symbols says too little about perplexity; it gets that much more margin.
-SHORT = 400
+#: Quantiles of the trusted rows' deviations, per language, and how far beyond them, in parts of them, a row may lie.
+LOW_QUANTILE, HIGH_QUANTILE, MARGIN = 0.002, 0.998, 0.1
+#: The log perplexity of n symbols scatters by about sqrt(1 / n + 1 / LONG): in long texts by what differs between texts.
+LONG = 5000
 #: Up to so many trusted ids are broadcast (eight bytes each); beyond it the texts are shuffled once to join them.
 BROADCAST_IDS = 4_000_000
 _POINTS = 1 << 16
@@ -168,10 +168,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, lower, upper, keep) of every row.
 
     Takes doc_id, text and lang, and labels with doc_id and quality; other columns are ignored. The trusted rows are
-    those that any label calls quality 1 and none calls otherwise. A row is kept if its perplexity lies between the
-    trusted rows' quantiles of its language, with a margin that grows for short texts; languages (or a null one)
-    without trusted rows take the quantiles of all. Rows without text aren't kept; without trusted rows all other rows
-    are. Repeated rows stay.
+    those that any label calls quality 1 and none calls otherwise. A row's deviation is that of its log perplexity from
+    the median of its language's trusted rows, over the scatter that its length explains; so short rows have wide
+    bounds and don't widen those of long ones. A row is kept if its deviation lies between the trusted rows' quantiles,
+    with a margin; the bounds never are narrower than the scatter itself. Languages (or a null one) without trusted
+    rows take the median and quantiles of all. Rows without text aren't kept; without trusted rows all other rows are.
+    Repeated rows stay.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).where("quality = 1").select("doc_id")
     good = cut(good)
@@ -179,11 +181,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left_semi")
     scored = cut(score(docs, train(trusted, symbol_table(docs))))
     known = scored.where("perplexity IS NOT NULL").join(good, "doc_id", "left_semi")
-    bounds = [F.percentile_approx("perplexity", q, 10_000) for q in (LOW_QUANTILE, HIGH_QUANTILE)]
-    own = known.groupBy(F.col("lang").alias("of")).agg(bounds[0].alias("own_low"), bounds[1].alias("own_high"))
-    every = known.agg(bounds[0].alias("all_low"), bounds[1].alias("all_high"))
-    margin = MARGIN * (1 + F.lit(SHORT) / F.greatest("n_symbols", F.lit(1)))
-    placed = scored.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(every))  # one row
-    placed = placed.withColumn("lower", F.coalesce("own_low", "all_low") / (1 + margin)).withColumn("upper", F.coalesce("own_high", "all_high") * (1 + margin))
+    scatter = F.sqrt(1 / F.greatest("n_symbols", F.lit(1)) + F.lit(1 / LONG))
+
+    def beside(rows: DataFrame, own: DataFrame, every: DataFrame, names: list[str]) -> DataFrame:
+        """Each row with its language's values, or else those of all rows."""
+        own = own.select(F.col("lang").alias("of"), *(F.col(c).alias(f"own_{c}") for c in names))
+        every = every.select(*(F.col(c).alias(f"all_{c}") for c in names))
+        out = rows.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(every))  # one row
+        return out.select(*rows.columns, *(F.coalesce(f"own_{c}", f"all_{c}").alias(c) for c in names))
+
+    middle = F.percentile_approx("perplexity", 0.5, 10_000).alias("middle")
+    known = cut(beside(known, known.groupBy("lang").agg(middle), known.agg(middle), ["middle"]).withColumn("z", F.log(F.col("perplexity") / F.col("middle")) / scatter))
+    values = [F.first("middle").alias("middle"), *(F.percentile_approx("z", q, 10_000).alias(c) for c, q in (("low", LOW_QUANTILE), ("high", HIGH_QUANTILE)))]
+    every = known.agg(middle, *values[1:])
+    placed = beside(scored, known.groupBy("lang").agg(*values), every, ["middle", "low", "high"])
+    bound = lambda z: F.col("middle") * F.exp(z * (1 + MARGIN) * scatter)
+    placed = placed.withColumn("lower", bound(F.least("low", F.lit(-1.0)))).withColumn("upper", bound(F.greatest("high", F.lit(1.0))))
+    without = F.col("middle").isNull()  # no trusted rows
+    placed = placed.withColumns({c: F.when(~without, F.col(c)) for c in ("lower", "upper")})
     keep = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.col("perplexity").isNotNull())
     return placed.select("doc_id", "lang", "n_symbols", "perplexity", "lower", "upper", keep.alias("keep"))

@@ -78,3 +78,12 @@ def test_labelled_quality(spark):
     good = [r.keep for r in found if r.quality == 1]
     poor = [r.keep for r in found if r.quality == 0]
     assert sum(good) >= 0.97 * len(good) and sum(poor) <= 0.4 * len(poor)
+
+
+def test_few_poor_rows_are_kept(spark):
+    """Most poor rows here repeat one word, so that only tight bounds for long texts refuse them."""
+    sf = "/root/testdata/sf0.1"
+    found = op2_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good = [r.keep for r in found if r.quality == 1]
+    poor = [r.keep for r in found if r.quality == 0]
+    assert sum(good) >= 0.995 * len(good) and sum(poor) <= 0.06 * len(poor), (sum(good), len(good), sum(poor), len(poor))
