@@ -51,10 +51,10 @@ def x24_quote_anchors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", ingestion.anchored(F.col("text"), F.col("q"), F.lit(5)).alias("start"))
 
 
-@query("w11_banner_fill_down", "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w AS section, CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS banner FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)) SELECT l_orderkey, l_linenumber, l_partkey, last_value(banner IGNORE NULLS) OVER (PARTITION BY l_orderkey, section ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS banner FROM b")
+@query("w11_banner_fill_down", "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w AS section, CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS banner FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING)) SELECT l_orderkey, l_linenumber, l_partkey, last_value(banner IGNORE NULLS) OVER (PARTITION BY l_orderkey, section ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS banner FROM b")
 def w11_banner_fill_down(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when(F.col("l_linestatus") == "O", F.col("l_suppkey")).alias("banner"))
-    out = ingestion.fill_down(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "banner", F.col("l_returnflag") == "R")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.when(F.col("l_linestatus") == "O", F.col("l_suppkey")).alias("banner"))
+    out = ingestion.fill_down(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"], "banner", F.col("l_returnflag") == "R")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "banner")
 
 
