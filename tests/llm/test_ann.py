@@ -45,6 +45,48 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def _recall(spark, ids, vectors, step):
+    frame = spark.createDataFrame([(int(i), v) for i, v in zip(ids, vectors.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, ann.F.col("vec_id") % step == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    asked = ids[ids % step == 0]
+    assert all(sorted(r for r, _ in got[q]) == list(range(1, 21)) for q in asked)  # every query has all its ranks
+    return np.mean([len({v for _, v in got[q]} & {i for i, _ in ann.brute_force(ids, vectors, q)}) / 20 for q in asked])
+
+
+def test_recall_where_lists_are_pruned(spark):
+    rng = np.random.default_rng(8)
+    ids = np.arange(12_000)
+    assert _recall(spark, ids, rng.normal(size=(len(ids), 24)), 100) >= 0.9
+    clusters = rng.normal(size=(90, 16))[rng.integers(0, 90, len(ids))] + 0.05 * rng.normal(size=(len(ids), 16))
+    assert _recall(spark, ids, clusters, 100) >= 0.9
+
+
+def test_full_ranks_where_near_lists_are_short(spark):
+    """One far cluster of a few vectors, whose own lists hold fewer than 20, and many exact ties."""
+    rng = np.random.default_rng(9)
+    far = rng.normal(size=(5, 6)) * 0.01 + np.array([9.0, 0, 0, 0, 0, 0])
+    axes = np.eye(6)[rng.integers(0, 6, 3000)] * rng.integers(1, 400, 3000)[:, None]
+    vectors = np.concatenate((far, axes))
+    assert _recall(spark, np.arange(len(vectors)), vectors, 5) >= 0.9
+
+
+def test_lengths_are_tables_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (21, [0.5, 1.0]), (40, [1.0, 1.0, 1.0]), (41, [2.0, 0.0, 0.0])]
+    found = sorted(tuple(r) for r in ann.search(_frame(spark, rows), ann.F.col("vec_id") % 20 == 0, 20).collect())
+    assert found == [(20, 1, 21, 0.5), (40, 1, 41, 2.0)]
+
+
+def test_small_groups_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    table = _frame(spark, [(i, rng.normal(size=8).tolist()) for i in range(2000)])
+    ask = lambda: sorted(map(tuple, ann.search(table, ann.F.col("vec_id") % 20 == 0, 20).collect()))
+    want = ask()
+    monkeypatch.setattr(ann, "GROUP", 50)
+    assert ask() == want
+
+
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(6000, 16))
