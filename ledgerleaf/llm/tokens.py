@@ -7,11 +7,13 @@ index: where the chunk lies in its file, which documents it has and how many ids
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_dir
+from .common import byte_slices, new_dir
 
 #: Ids in a block; a block is transposed at once.
 BLOCK = 1 << 16
 #: Ids in a chunk, about; a chunk is what is read at once.
 CHUNK = 1 << 19
 END = 2
-#: Distinct words whose ids a Python worker remembers before it starts anew.
-MEMORY = 1_200_000
+#: Bytes of words and their ids that a Python worker remembers, about; the least recently used half goes when it is full.
+MEMORY = 112 << 20
+#: Bytes of text encoded at once.
+SLICE = 6 << 20
 FILE_SCHEMA = "file int, chunk int, first_doc long, n_docs int, n_ids long, doc_ids array<long>, lengths array<long>, planes binary"
 _FILE_TYPES = pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("planes", pa.binary())])
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary.
@@ -47,60 +51,70 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Whole texts to ids by the tokenizers library, with each distinct word encoded once.
 
-    The pre-tokenizer always cuts before a blank that has no white space on either side, so a text without longer runs
-    of white space is the sum of its blank-separated words. Other texts go through the library whole.
+    A byte-level pre-tokenizer always cuts before a blank that has no white space on either side, so a text without
+    longer runs of white space is the sum of its blank-separated words. Other texts, and all texts of a vocabulary that
+    isn't a plain byte-level one, go through the library whole.
     """
 
     _odd = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.byte_level = plain_byte_level(json.loads(Path(path).read_text()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.young: dict[str, bytes] = {}  # ids of pieces
+        self.old = self.young
+        self.room = MEMORY // 2
 
     def piece(self, text: str) -> bytes:
         """The ids of what the pre-tokenizer takes as one piece, as little-endian 32-bit."""
-        ids = self.pieces.get(text)
+        ids = self.young.get(text)
         if ids is None:
-            found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            ids = self.pieces[text] = array("I", [t.id for t in found]).tobytes()
+            ids = self.old.get(text)
+            if ids is None:
+                found = self.tokenize(text.encode().decode("latin-1").translate(self.letters))
+                ids = array("I", [t.id for t in found]).tobytes()
+            self.room -= 170 + len(text) + len(ids)
+            if self.room < 0:  # what wasn't used since the last time goes
+                self.young, self.old, self.room = {}, self.young, MEMORY // 2
+            self.young[text] = ids
         return ids
 
-    def word(self, text: str) -> bytes:
-        """The ids of a blank and the word after it."""
-        if text.isalpha():
-            return self.piece(f" {text}")
-        if text[:-1].isalpha() and text[-1] in ".,":
-            return self.piece(f" {text[:-1]}") + self.piece(text[-1])
-        return b"".join(map(self.piece, self.find(f" {text}")))
+    def words(self, texts: pa.Array) -> list[bytes]:
+        """The ids of a blank and each word after it: letters, maybe before one stop or comma, are one piece or two."""
+        stems = pc.utf8_rtrim(texts, ".,")
+        cut = pc.subtract(pc.utf8_length(texts), pc.utf8_length(stems))
+        plain = pc.and_(pc.less_equal(cut, 1), pc.utf8_is_alpha(stems))
+        own = pc.if_else(plain, stems, None).dictionary_encode()
+        known = [self.young.get(x) or self.piece(x) for x in [f" {x}" for x in own.dictionary.to_pylist()]]
+        tail = np.where(cut.to_numpy() > 0, pc.ends_with(texts, ".").to_numpy(zero_copy_only=False) + 1, 0)
+        tails = (b"", self.piece(","), self.piece("."))
+        at = pc.fill_null(own.indices, -1).to_numpy()
+        out = [known[i] + tails[t] if t else known[i] for i, t in zip(at.tolist(), tail.tolist(), strict=True)] if known else [b""] * len(texts)
+        for i in np.flatnonzero(at < 0).tolist():
+            out[i] = b"".join(map(self.piece, self.find(f" {texts[i].as_py()}")))
+        return out
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def simple(self, text: str) -> bool:
         """Whether the text is the sum of its words."""
-        return not ("  " in text or "\n " in text or " \n" in text or text.endswith(" ") or self._odd.search(text) or any(s in text for s in self.special))
+        return self.byte_level and not ("  " in text or "\n " in text or " \n" in text or text.endswith(" ") or self._odd.search(text) or any(s in text for s in self.special))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
-        if len(self.words) + len(self.pieces) > 2 * MEMORY:
-            self.words.clear()
-            self.pieces.clear()
         simple = [bool(t) and self.simple(t) for t in texts]
         split = pc.split_pattern(pa.array([t for t, s in zip(texts, simple, strict=True) if s], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        known = []
-        for w in coded.dictionary.to_pylist():
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.words[w] = self.word(w)
-            known.append(ids)
+        known = self.words(coded.dictionary)
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
+        del known
         begins = np.cumsum(lengths) - lengths
         which, offsets = coded.indices.to_numpy(), split.offsets.to_numpy()
         out, at = [], 0
@@ -119,6 +133,14 @@ class Encoder:
         return out
 
 
+def plain_byte_level(config: dict) -> bool:
+    """Whether a tokenizer file's settings are those that ``PATTERN`` and byte letters stand for."""
+    model, before = config.get("model") or {}, config.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "unk_token"))
+    return bool(plain and model.get("type") == "BPE" and not odd and not config.get("normalizer") and not config.get("truncation"))
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids to blocks of compressed byte planes: per block its length, then each plane's size and zstandard bytes."""
     squeeze, out = zstandard.ZstdCompressor(level=1).compress, [struct.pack("<Q", len(ids))]
@@ -164,6 +186,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
+            _encoders.clear()
             _encoders[tokenizer] = Encoder(tokenizer)
         encoder, last = _encoders[tokenizer], struct.pack("<I", end)
         file, chunk, ids, held, size = None, 0, [], [], 0
@@ -174,8 +197,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> Non
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _FILE_TYPES.types, strict=True)], schema=_FILE_TYPES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in byte_slices(batch, 2, SLICE):
                 file = part.column(0)[0].as_py()
                 for doc_id, found in zip(part.column(1).to_pylist(), encoder.encode(part.column(2).to_pylist()), strict=True):
                     if held and size + len(found) // 4 >= CHUNK:

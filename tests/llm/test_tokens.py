@@ -50,3 +50,20 @@ def test_planes_round_trip():
 
 def test_empty_table(spark):
     assert tokens.token_table(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_a_small_memory_gives_the_same(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 3000)
+    encoder, rng = tokens.Encoder(tokenizer_path()), random.Random(6)
+    texts = [" ".join(rng.choice(["the", "Été,", "don't", "word.", "x²", "12", "end"]) + str(rng.randint(0, 40)) * rng.randint(0, 1) for _ in range(60)) for _ in range(40)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want and len(encoder.young) + len(encoder.old) < 60
+
+
+def test_other_vocabularies_go_through_the_library():
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    encoder, texts = tokens.Encoder(path), ["Hello the world, and all of it.", "a  b"]
+    assert not encoder.byte_level
+    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
