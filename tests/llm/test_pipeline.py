@@ -27,23 +27,23 @@ def test_run_matches_brute_force(spark, folder):
     table = spark.read.parquet(f"{folder}/documents.parquet")
     left = [tuple(r) for r in table.collect()]
     model = langid.train(table)
-    keep = {r[0] for r in left if r[0] is not None and (p := langid.brute_force(model, r[1]))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE}
-    left = [r for r in left if r[0] in keep]
-    label = slow_components([(r[0], slow_fingerprint(r[1])) for r in left])
-    left = list({r[0]: r for r in left if label[r[0]] == r[0]}.values())
+    known = [p[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE for p in model.predict([r[1] for r in left])]
+    left = sorted((r for r, k in zip(left, known, strict=True) if k), key=lambda r: (r[0] is None, r[0] or 0))
+    label = slow_components([(i, slow_fingerprint(r[1])) for i, r in enumerate(left)])
+    left = [r for i, r in enumerate(left) if label[i] == i]
     assert 1 in {r[0] for r in left} and not {2, 3} & {r[0] for r in left}
     left = [r for r in left if decontam.brute_force(r[1], ITEMS)[1] == 0]
     assert not {4, 10, 13} & {r[0] for r in left}
     weights = {(d,): w for d, w in queries.MIX_DOMAIN.items()} | {(d, x): w for d in queries.MIX_DOMAIN for x, w in queries.MIX_LANG.items()}
     taken = {i for i, _ in slow_mix(left, weights, corpus_pipeline.MIX_SHARE, 1, 1, lambda lang, source: ("small" if len(source or "") <= 4 else "large", lang, source))}
-    left = sorted(r for r in left if r[0] in taken)
+    left = sorted((r for r in left if r[0] in taken), key=lambda r: (r[0] is not None, r[0] or 0))
     assert len(left) > 20
     library, want, start = Tokenizer.from_file(queries.tokenizer_path()), [], 0
     for r in left:
         ids = [*library.encode(r[1], add_special_tokens=False).ids, 2]
         want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=lambda r: r[1]) == want
 
 
 def test_stages_keep_the_columns_and_take_nothing(spark, folder):
