@@ -1,7 +1,8 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
+import pytest
 
 from ledgerleaf.llm import quality
 from ledgerleaf.llm.queries import op2_quality
@@ -39,20 +40,75 @@ def slow_logs(grams_of, order, size):
     return p
 
 
-def test_model_matches_brute_force(spark):
-    trusted = docs(spark).where("doc_id IN (1, 4, 11, 12, 13)")
-    model = quality.train(trusted, quality.symbol_table(trusted))
-    split = lambda g: tuple(int(g) // quality.SYMBOLS**i % quality.SYMBOLS for i in range(quality.ORDER - 1, -1, -1))
-    seen = [split(g) for r in trusted.collect() for g in quality.ngrams(quality.encode(r.text, model.table))]
-    p = slow_logs(seen, quality.ORDER, quality.SYMBOLS)
-    for _, text, *_ in rows():
+def symbols(text):
+    out = []
+    for x in text:
+        if x.lower() != x and len(x.lower()) == 1:
+            out += [chr(quality.CAPITAL), x.lower()]
+        else:
+            out.append("0" if x.isdecimal() else chr(quality.NUL) if x == "\0" else x)
+    return out
+
+
+def grams(text):
+    own = [chr(quality.START)] * (quality.ORDER - 1) + symbols(text)
+    return [tuple(own[i : i + quality.ORDER]) for i in range(len(own) - quality.ORDER + 1)]
+
+
+def _scored(spark, texts, counted):
+    table = spark.createDataFrame([(i, "en", t, i in counted) for i, t in enumerate(texts)], "doc_id long, lang string, text string, counted boolean").repartition(3)
+    return {r.doc_id: (r.n_symbols, r.perplexity) for r in quality.score(table).collect()}
+
+
+@pytest.mark.parametrize("bundle", [quality.BUNDLE, 1])
+def test_model_matches_brute_force(spark, monkeypatch, bundle):
+    """In bundles of many texts and of one, over thousands of different symbols, and letters beyond the first plane."""
+    monkeypatch.setattr(quality, "BUNDLE", bundle)
+    texts = [t and t[:4000] for _, t, *_ in rows()] + ["".join(chr(0x4E00 + i) for i in range(5000)), "𐐀𐐨 Ⅷ ①²\0 ǅ İ", "Привет, мир! " * 5]
+    counted = {0, 3, 9, 10, 11, 16, 18}
+    seen = [g for i in counted for g in grams(texts[i])]
+    p = slow_logs(seen, quality.ORDER, len({g[-1] for g in seen}) + 1)
+    got = _scored(spark, texts, counted)
+    for i, text in enumerate(texts):
         if text:
-            n, got = model.perplexity(text)
-            grams = quality.ngrams(quality.encode(text, model.table))[:3000]
-            want = math.exp(-sum(math.log(p(split(g))) for g in grams) / len(grams))
-            assert n == len(quality.encode(text, model.table)) and (len(grams) < n or abs(got - want) < 1e-3 * want)
-    every = np.exp(model.logs.astype(float)).reshape(-1, quality.SYMBOLS).sum(1)
-    assert np.allclose(every, 1, atol=1e-4)
+            want = math.exp(-sum(math.log(p(g)) for g in grams(text)) / len(grams(text)))
+            assert got[i] == (len(symbols(text)), pytest.approx(want, rel=1e-9)), i
+        else:
+            assert got[i] == (0, None)
+
+
+def test_probabilities_add_up(spark):
+    """All symbols after one context, seen or not, and what is left for any other symbol."""
+    text = "abracadabra abba cab"
+    symbol = sorted(set(text))
+    seen = grams(text)
+    p = slow_logs(seen, quality.ORDER, len(symbol) + 1)
+    for context in ("abra", "xxxx", "a ab"):
+        assert sum(p((*context, x)) for x in [*symbol, "?"]) == pytest.approx(1)
+    got = _scored(spark, [text, "abrac", "abra?"], {0})
+    for i, t in ((1, "abrac"), (2, "abra?")):
+        assert got[i][1] == pytest.approx(math.exp(-sum(math.log(p(g)) for g in grams(t)) / 5))
+
+
+def test_bounds_match_brute_force(spark):
+    """The bounds and the decision again from the scores, with plain sorting."""
+    labels = spark.createDataFrame([(i, 1) for i in (1, 3, 4, 8, 12, 13, 14)], "doc_id long, quality int")
+    found = quality.classify(docs(spark), labels).collect()
+    held = [r for r in found if r.doc_id in (1, 3, 4, 8, 12, 13, 14) and zlib.crc32(str(r.doc_id).encode()) % quality.FOLDS == 0 and r.perplexity]
+    assert held
+    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values)), 1) - 1]
+    scatter = lambda r: math.sqrt(1 / max(r.n_symbols, 1) + 1 / quality.LONG)
+    groups = {la: [r for r in held if r.lang == la] for la in {r.lang for r in held}}
+    middle = {la: at([r.perplexity for r in g], 0.5) for la, g in groups.items()}
+    middle_all = at([r.perplexity for r in held], 0.5)
+    z = {la: [math.log(r.perplexity / middle[la]) / scatter(r) for r in g] for la, g in groups.items()}
+    every = [x for v in z.values() for x in v]
+    for r in found:
+        own, mid = z.get(r.lang, every), middle.get(r.lang, middle_all)
+        low = mid * math.exp(min(at(own, quality.LOW_QUANTILE), -1) * (1 + quality.MARGIN) * scatter(r))
+        high = mid * math.exp(max(at(own, quality.HIGH_QUANTILE), 1) * (1 + quality.MARGIN) * scatter(r))
+        assert r.lower == pytest.approx(low) and r.upper == pytest.approx(high)
+        assert r.keep == (r.perplexity is not None and low <= r.perplexity <= high)
 
 
 def test_joined_ids_give_the_same(spark, monkeypatch):
@@ -72,14 +128,6 @@ def test_edges(spark):
     assert {r.keep for r in quality.classify(docs(spark), labels.limit(0)).where("perplexity IS NOT NULL").collect()} == {True}
 
 
-def test_labelled_quality(spark):
-    sf = "/root/testdata/sf0.01"
-    found = op2_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
-    good = [r.keep for r in found if r.quality == 1]
-    poor = [r.keep for r in found if r.quality == 0]
-    assert sum(good) >= 0.97 * len(good) and sum(poor) <= 0.4 * len(poor)
-
-
 def test_few_poor_rows_are_kept(spark):
     """Most poor rows here repeat one word, so that only tight bounds for long texts refuse them."""
     sf = "/root/testdata/sf0.1"
