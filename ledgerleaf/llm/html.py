@@ -10,16 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose content is never the article's.
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "textarea", "option", "iframe", "object", "svg", "canvas", "dialog", "menu", "audio", "video", "header"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of a class or id that name what is not the article.
-NAMES = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended share sharing social follow "
-    "header masthead footer copyright comment comments commentlist discussion disqus replies reply respond newsletter subscribe subscription signup login search hidden".split()
-)
+#: Words of a class or id that name what is not the article, and the points they cost: an element stays all the same if
+#: its paragraphs earn more.
+NAMES = {
+    w: cost
+    for cost, words in {
+        -200.0: "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar "
+        "footer comment comments commentlist discussion disqus replies newsletter share sharing",
+        -25.0: "promotion banner consent notice alert popup modal overlay aside widget related recommended social follow header masthead copyright reply respond subscribe subscription signup login search hidden",
+    }.items()
+    for w in words.split()
+}
 #: Elements that start a block of text of their own; also those that end an open paragraph.
 BLOCKS = set("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | (DROPPED - {"button", "select", "textarea", "option", "iframe", "object", "svg", "canvas", "audio", "video", "script", "style", "noscript", "template"})
 #: An element of the first kind is closed by a later sibling of any of the second.
@@ -27,8 +34,12 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 KEPT = {"html", "body", "main", "article"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "dd", "li"}
+#: Ancestors that get all points of the paragraphs within, however deep; others get a half, a third and so on.
+WHOLE = {"article"}
 START_POINTS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0}
 MAX_DEPTH = 400
+#: Bytes of pages that a task reads at once.
+SLICE = 4 << 20
 _TAIL = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
 
@@ -36,10 +47,10 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("children", "dropped", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "cost", "dropped", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, cost: float = 0.0):
+        self.tag, self.parent, self.dropped, self.cost = tag, parent, dropped, cost
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
@@ -51,8 +62,6 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return True
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -60,6 +69,14 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _cost(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """What the names of an element cost: those of its dearest word."""
+    if tag in KEPT:
+        return 0.0
+    words = (w for name, value in attrs if name in ("class", "id") for w in re.split(r"[^a-z0-9]+", (value or "").lower()))
+    return min((NAMES.get(w, 0.0) for w in words), default=0.0)
+
+
 class Tree(HTMLParser):
     """A forgiving tree builder: missing end tags close where HTML's rules close them."""
 
@@ -90,7 +107,7 @@ class Tree(HTMLParser):
             self._close({"p"}, {"td", "th", "table", "button", "object"})
         if tag in CLOSED_BY:
             self._close({k for k, v in CLOSED_BY.items() if tag in v}, SCOPES[tag])
-        node = Node(tag, self.at, _dropped(tag, attrs))
+        node = Node(tag, self.at, _dropped(tag, attrs), _cost(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID and self.depth < MAX_DEPTH:  # deeper elements are siblings, which keeps their text
             self.at, self.depth = node, self.depth + 1
@@ -131,22 +148,27 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def _score(nodes: list[Node]) -> None:
-    """Sizes of text and link text, then the points that paragraphs pass to ancestors: all, a half, a third and so on."""
+    """Sizes of text and link text, then the points that paragraphs pass to ancestors: all, a half, a third and so on.
+
+    Elements begin with the points of their tag and name.
+    """
+    for node in nodes:
+        node.points = START_POINTS.get(node.tag, 0.0) + node.cost
     texts: dict[int, list[str]] = {}
     for node in reversed(nodes):
         own = [c for c in node.children if isinstance(c, str)]
         kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
         node.size = sum(len(_SPACE.sub(" ", t).strip()) for t in own) + sum(k.size for k in kids)
         node.links = node.size if node.tag == "a" else sum(k.links for k in kids)
-        node.points += START_POINTS.get(node.tag, 0.0)
         mine = own + [t for k in kids if k.tag not in BLOCKS for t in texts.get(id(k), ())]
         texts[id(node)] = mine
         text = _SPACE.sub(" ", "".join(mine)).strip()
         if text and (node.tag in PARAGRAPHS or node.tag in BLOCKS and any(t.strip() for t in own)) and node.tag not in {"h1", "h2", "h3", "h4", "h5", "h6"}:
             gained = 1 + text.count(",") + min(len(text) / 100, 3)
             above, level = node.parent if node.tag in PARAGRAPHS else node, 1
-            while above is not None and level <= 5:
-                above.points += gained / level
+            while above is not None:
+                if level <= 5 or above.tag in WHOLE:
+                    above.points += gained if above.tag in WHOLE else gained / level
                 above, level = above.parent, level + 1
 
 
@@ -186,35 +208,44 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     nodes = _nodes(root)
     _score(nodes)
+    named = [n for n in nodes if n.cost and n.points < 0]
+    if named:  # what its paragraphs don't redeem goes, with the points it gave
+        for node in named:
+            node.dropped = True
+        nodes = _nodes(root)
+        _score(nodes)
     holders = [n for n in nodes if n.tag in BLOCKS and n.tag not in PARAGRAPHS - {"td"} and n.size]
     if not holders:
         return "\n".join(_blocks(root))
     best = max(holders, key=_value)  # ties: the outermost, which comes first
-    above = best
-    while above is not None and above.tag != "article":
-        above = above.parent
-    best = above or best
+    titled = any(n.tag == "h1" and _inside(n, best) for n in nodes)
     floor, chosen = max(10.0, 0.2 * _value(best)), []
     for node in best.parent.children if best.parent else [best]:
         if isinstance(node, str) or node.dropped or not node.size:
             continue
-        loose = node.tag == "p" and node.links <= 0.25 * node.size and node.size >= 80
+        loose = node.tag == "p" and node.links <= 0.25 * node.size and node.size >= 80 or node.tag == "h1" and not titled
         if node is best or loose or node.tag in BLOCKS and _value(node) >= floor:
             chosen.append(node)
     return "\n".join(b for node in chosen for b in _blocks(node))
 
 
+def _inside(node: Node, of: Node) -> bool:
+    while node is not None and node is not of:
+        node = node.parent
+    return node is of
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
-    Takes page_id, url and html; other columns are ignored. A null or empty html, and a page without any text, give an
+    Takes page_id, url and html; other columns are ignored. The container of the best score is the article, with those of
+    its siblings that score a fifth of it, and a heading beside it; of equal scores the outermost and first. A null or empty html, and a page without any text, give an
     empty text; null ids and urls stay; repeated rows stay. Broken and cut-off markup is read as far as it goes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, 2, SLICE):
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

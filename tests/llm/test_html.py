@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from ledgerleaf.llm import html
 
 ARTICLE = "Some words of the story, with commas, and enough of them to count as text. " * 3
@@ -36,3 +40,77 @@ def test_broken_markup():
 def test_best_of_two_containers():
     links = "".join(f"<p><a href=x>{ARTICLE}</a></p>" for _ in range(9))
     assert html.main_text(page(f"<div><div>{links}</div><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div></div>")) == "\n".join([ARTICLE.strip()] * 2)
+
+
+def slow_scores(node):
+    """Sizes, link sizes and values of all nodes, each straight from its definition, in page order."""
+    squeeze = lambda t: " ".join(t.split())
+    kids = lambda n: [c for c in n.children if isinstance(c, html.Node) and not c.dropped]
+    every = lambda n: [n, *(x for k in kids(n) for x in every(k))]
+    own = lambda n: [c for c in n.children if isinstance(c, str)]
+    size = lambda n: sum(len(squeeze(t)) for x in every(n) for t in own(x))
+    links = lambda n: size(n) if n.tag == "a" else sum(links(k) for k in kids(n))
+    inline = lambda n: own(n) + [t for k in kids(n) if k.tag not in html.BLOCKS for t in inline(k)]
+
+    def gained(n):
+        text = squeeze("".join(inline(n)))
+        heading = len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1] in "123456"
+        if not text or heading or not (n.tag in html.PARAGRAPHS or n.tag in html.BLOCKS and any(t.strip() for t in own(n))):
+            return 0
+        return 1 + text.count(",") + min(len(text) / 100, 3)
+
+    def points(n):
+        total = html.START_POINTS.get(n.tag, 0) + n.cost
+        for x in every(n):
+            steps, at = (0 if x.tag in html.PARAGRAPHS else 1), x
+            while at is not n:
+                steps, at = steps + 1, at.parent
+            if steps:
+                total += gained(x) * (1 if n.tag == "article" else 1 / steps if steps <= 5 else 0)
+        return total
+
+    return [(size(n), links(n), points(n) * (1 - links(n) / size(n)) if size(n) else 0) for n in every(node)]
+
+
+def random_page(rng, depth=0):
+    tag = rng.choice(["div", "p", "section", "article", "ul", "li", "a", "b", "td", "h1", "blockquote", "span"])
+    name = rng.choice(["", "", "", " class='related x'", " id=comments", " class=story"])
+    inner = "".join(random_page(rng, depth + 1) if depth < 6 and rng.random() < 0.6 else rng.choice(["some words, ", "x" * rng.randint(1, 150), " \n "]) for _ in range(rng.randint(1, 4)))
+    return f"<{tag}{name}>{inner}</{tag}>"
+
+
+def test_scores_match_brute_force():
+    rng = random.Random(11)
+    for _ in range(150):
+        root = html.parse(random_page(rng) + random_page(rng))
+        nodes = html._nodes(root)
+        html._score(nodes)
+        got = [(n.size, n.links, html._value(n)) for n in nodes]
+        for a, b in zip(got, slow_scores(root), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
+def test_the_score_decides(monkeypatch):
+    """An article element of a line loses to a container of paragraphs; without scores the choice is another one."""
+    shown = page(f"<div><article><p>Short, teaser.</p></article></div><div><p>{ARTICLE * 3}</p><p>{ARTICLE * 3}</p><p>{ARTICLE * 3}</p><p>{ARTICLE * 3}</p><p>{ARTICLE * 3}</p></div>")
+    assert html.main_text(shown) == "\n".join([(ARTICLE * 3).strip()] * 5)
+    monkeypatch.setattr(html, "_value", lambda n: 0.0)
+    assert "teaser" in html.main_text(shown)
+
+
+def test_names_weigh_but_do_not_condemn():
+    long = "".join(f"<p>{ARTICLE}</p>" for _ in range(12))
+    assert html.main_text(page(f"<div class='search-story related'><h1>Head</h1>{long}</div><div class='related'><p>See this, too</p></div>")) == "\n".join(["Head", *[ARTICLE.strip()] * 12])
+
+
+def test_a_heading_beside_the_body_stays():
+    body = f"<div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"
+    for wrap in ("<article><h1>Head</h1>{}</article>", "<div><h1>Head</h1>{}</div>", "<article><div><h1>Head</h1></div><div>{}</div></article>"):
+        assert html.main_text(page(wrap.format(body))) == "\n".join(["Head", ARTICLE.strip(), ARTICLE.strip()])
+
+
+def test_ties_and_long_pages():
+    two = f"<div><p>{ARTICLE}</p></div>" * 2
+    assert html.main_text(page(two)) == "\n".join([ARTICLE.strip()] * 2)  # equal containers are siblings of the best
+    long = page("<article>" + f"<p>{ARTICLE}</p>" * 20_000 + "</article>")
+    assert html.main_text(long).count("\n") == 19_999
