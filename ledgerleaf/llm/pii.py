@@ -51,6 +51,12 @@ Fits = Callable[[str], bool]
 _MAY = re.compile(r"[0-9@=:]")
 DIGITS = "0123456789"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters beyond ASCII that are permuted among their own kind: first and last code point, and what lies between and isn't one.
+_RANGES = [(0xDF, 0xFF, "÷"), (0xC0, 0xDE, "×"), (0x3B1, 0x3C9, ""), (0x391, 0x3A9, "\u03a2"), (0x430, 0x44F, ""), (0x410, 0x42F, "")]
+ALPHABETS = [DIGITS, UPPER, LOWER, *("".join(c for c in map(chr, range(a, b + 1)) if c not in no) for a, b, no in _RANGES)]
+_SET = {c: s for s in ALPHABETS for c in s}
+#: Country codes of two digits, fixed values; 1 and 7 have one digit, all others three.
+TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -78,7 +84,7 @@ def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
 
 def permute_text(text: str, key: bytes, tweak: str, back: bool = False) -> str:
     """Digits, capitals and small letters each stay what they are, and all of them are permuted as one number."""
-    sets = [DIGITS if c in DIGITS else UPPER if c in UPPER else LOWER if c in LOWER else "" for c in text]
+    sets = [_SET.get(c, "") for c in text]
     size = value = 0
     for c, s in zip(text, sets, strict=True):
         if s:
@@ -183,16 +189,25 @@ def _ip(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
 
 
 def _email(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
+    """Letter case is kept apart, so that all spellings of an address are linked."""
     local, _, domain = text.rpartition("@")
-    return f"{permute_text(local, key, f'email:{domain}', back)}@{domain}"
+    small = "".join(c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in local)
+    new = permute_text(small, key, f"email:{domain.lower()}", back)
+    return "".join(n.upper() if s != c and len(n.upper()) == 1 and n.upper().lower() == n else n for n, s, c in zip(new, small, local, strict=True)) + f"@{domain}"
+
+
+def _country(digits: str) -> int:
+    """How many digits of an international number are the country's code."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
 
 
 def _phone(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
+    """The national number is permuted by itself, so that it is linked with and without a country's code."""
     digits = "".join(c for c in text if c.isdigit())
     if not 7 <= len(digits) <= 15:
         return None
-    head = len(re.match(r"\+?(\d{1,3})", text)[1]) if text[0] == "+" else 0
-    return _fill(text, digits[:head] + permute_text(digits[head:], key, f"phone:{digits[:head]}", back))
+    head = _country(digits) if text[0] == "+" else 0
+    return _fill(text, digits[:head] + permute_text(digits[head:], key, "phone", back))
 
 
 def _ssn(text: str, key: bytes, back: bool, fits: Fits) -> str | None:

@@ -75,3 +75,26 @@ def test_neighbours_are_restored(parts, mark):
     text = mark.join(parts)
     out, found = pii.pseudonymise(text, KEY)
     assert pii.restore(out, KEY) == text and [k for k, *_ in pii.pseudonymise(out, KEY)[1]] == [k for k, *_ in found]
+
+
+def _new(text, key=b"k"):
+    out = pii.pseudonymise(text, key)[0]
+    assert pii.restore(out, key) == text
+    return out
+
+
+def test_spellings_of_one_number_are_linked():
+    digits = lambda t: "".join(c for c in _new(t) if c.isdigit())
+    a, b, c = digits("call +1 487 555 7209 now"), digits("call +14875557209 now"), digits("call (487) 555-7209 now")
+    assert a == b and a[1:] == c and a[1:] != "4875557209"
+    assert digits("+44 20 7946 0958 ")[:2] == "44" and digits("+353 1 679 1000 ")[:3] == "353"
+
+
+def test_spellings_of_one_address_are_linked():
+    a, b = _new("to Ann.Lee@Example.com!"), _new("to ann.lee@example.com!")
+    assert a.lower() == b.lower() != "to ann.lee@example.com!" and a[3].isupper() and a[7].isupper()
+
+
+def test_letters_beyond_ascii_are_replaced():
+    for local in ("ü", "žofie", "анна", "ÅSA"):
+        assert local not in _new(f"mail {local}@x.com, please")
