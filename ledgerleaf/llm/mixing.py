@@ -92,9 +92,16 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: dict[str, DataFrame],
     placed = narrow.withColumn("mine", F.struct(*levels)).join(plan, F.col("mine").eqNullSafe(F.col("leaf"))).where("left_over > 0")
     placed = placed.select("leaf", "left_over", "mix_tokens", F.struct(_key(seed, F.col("full"), F.col("mix_key")).alias("hash"), F.coalesce("mix_key", F.lit(-(2**62))).alias("id")).alias("place"))
     placed = placed.withColumn("bucket", F.substring("place.hash", 1, digits))
-    sums = placed.groupBy("leaf", "bucket").agg(F.sum("mix_tokens").alias("own"), F.first("left_over").alias("left_over"))
-    upto = F.sum("own").over(Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = cut(sums.withColumn("upto", upto).where("upto - own < left_over"))  # the buckets that the budget reaches
+    # prefix sums in two levels: over runs of buckets, then within each run, so that no task has all of a leaf's buckets
+    sums = cut(placed.groupBy("leaf", "bucket").agg(F.sum("mix_tokens").alias("own"), F.first("left_over").alias("left_over")))
+    sums = sums.withColumn("run", F.substring("bucket", 1, digits // 2))
+    runs = cut(sums.groupBy("leaf", "run").agg(F.sum("own").alias("run_own")))
+    before = F.sum("run_own").over(Window.partitionBy("leaf").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("leaf").alias("r_leaf"), F.col("run").alias("r_run"), F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.sum("own").over(Window.partitionBy("leaf", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = sums.withColumn("within", within).join(runs, F.col("leaf").eqNullSafe(F.col("r_leaf")) & (F.col("run") == F.col("r_run")))
+    sums = sums.select("leaf", "bucket", "own", "left_over", (F.col("before") + F.col("within")).alias("upto"))
+    sums = cut(sums.where("upto - own < left_over"))  # the buckets that the budget reaches
     whole = sums.where("upto <= left_over").groupBy("leaf").agg(F.max("bucket").alias("last_bucket"))
     edge = sums.where("upto > left_over").select(F.col("leaf").alias("e_leaf"), F.col("bucket").alias("e_bucket"), (F.col("upto") - F.col("own")).alias("ahead"))
     inside = placed.join(edge, F.col("leaf").eqNullSafe(F.col("e_leaf")) & (F.col("bucket") == F.col("e_bucket")))  # one bucket of a leaf

@@ -74,14 +74,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(own.unionByName(extra)))
 
 
-#: Target weights of the mixing query: the domain is a source's last digit class, as a stand-in for a curated table.
+#: Target weights of the mixing query. The tables name no domains, so the length of a source's name stands in for one.
 MIX_DOMAIN = {"small": 3.0, "large": 1.0}
 MIX_LANG = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 1
 
 
 def mix_path() -> dict[str, F.Column]:
-    """Domain, language and source of a document: sources of one digit or no digit are "small", others "large"."""
+    """Domain, language and source of a document: sources whose names have up to four letters are "small", others "large"."""
     domain = F.when(F.coalesce(F.length("source"), F.lit(0)) <= 4, "small").otherwise("large")
     return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
 
