@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import byte_slices, cut, hot_join
 from .components import connected_components
 
 BITS = 64
+#: Bytes of text that a task handles at once.
+SLICE = 4 << 20
 #: The driver sees at most so many fingerprints, to fit the partitions and thresholds.
 SAMPLE = 2048
 #: Buckets of more members are split into blocks; every pair of blocks is a task's unit of work.
@@ -58,8 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, 1, SLICE):
                 fps = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], names=["doc_id", "fp", *also])
 
@@ -248,10 +249,10 @@ def links(distinct: DataFrame, tau: int = 4) -> DataFrame:
 
 
 def _reach(distinct: DataFrame, tau: int) -> DataFrame:
-    """(fp, first, root): each distinct fingerprint with the one that names its component."""
+    """(fp, first, n, root): each distinct fingerprint with the one that names its component; ``n`` counts its rows."""
     distinct = cut(distinct)
     roots = connected_components(links(distinct.select("fp"), tau))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
@@ -260,13 +261,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     Takes doc_id and text; other columns are ignored. Returns doc_id, fp (signed long), fingerprint (16 hex digits) and
     component_id, the least doc_id that links of ``tau`` or fewer differing bits reach. Null, empty and blank texts
     have fingerprint 0 and are linked like any other. Repeated rows stay. A null doc_id gets a fingerprint, but
-    can't name a component. Exact copies are one fingerprint, so a group of them takes no comparisons.
+    can't name a component. Exact copies are one fingerprint, so a group of them takes no comparisons. Components and
+    fingerprints that many rows share are joined where the rows lie.
     """
     fps = cut(fingerprints(docs, width))
-    reach = _reach(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), tau)
-    least = reach.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = reach.join(least, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reach = cut(_reach(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), tau))
+    least = cut(reach.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fingerprints")))
+    member = cut(hot_join(reach.select("fp", "n", "root"), least, "root", "fingerprints").select("fp", "n", "component_id"))
+    return hot_join(fps, member, "fp", "n").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_rows(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
@@ -281,6 +283,6 @@ def first_rows(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     keyed = docs.withColumns({n: F.xxhash64(F.lit(i), *whole) for i, n in enumerate(names)})
     fps = cut(fingerprints(keyed, width, also=names))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *names)
-    reach = _reach(fps.groupBy("fp").agg(F.min(first).alias("first")), tau)
+    reach = _reach(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), tau)
     keep = reach.groupBy("root").agg(F.min("first").alias("first")).select("first._row_a", "first._row_b")
     return keyed.join(keep, [*names], "left_semi").dropDuplicates([*names]).select(*docs.columns)
