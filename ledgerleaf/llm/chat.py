@@ -89,7 +89,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def parse_turns(formatted: DataFrame) -> DataFrame:
-    """Read ``format_turns`` back: conv_id, formatted, and turns, an array of role, content (unescaped) and loss."""
+    """Read ``format_turns`` back: conv_id, formatted, turns (an array of role, content, unescaped, and loss), and what
+    there is of attachments and n_tokens."""
     split = F.split("formatted", r"(?<!\\)<turn>")
     pieces = F.slice(split, F.lit(2), F.size(split) - 1)  # nothing lies before the first turn
 
@@ -98,12 +99,21 @@ def parse_turns(formatted: DataFrame) -> DataFrame:
         content = F.substring(piece, F.length(role) + 2, F.length(piece) - F.length(role) - 1 - len(_CLOSE))
         return F.struct(_unescape_line(role).alias("role"), unescape(content).alias("content"), F.get("loss", i).alias("loss"))
 
-    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"))
+    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), *(c for c in ("attachments", "n_tokens") if c in formatted.columns))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, from the formatted strings alone."""
+    """The contract's columns, from the formatted strings alone, and how many attachments and tokens there are."""
     read = parse_turns(formatted)
     learnt = F.array_join(F.transform(F.filter("turns", lambda t: t.loss), lambda t: t.content), "")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.content, F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(every, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "n_tokens",
+    )

@@ -15,7 +15,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, shaped)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, shaped), '')) AS loss_sha256,
-  CAST(sum(length(shaped)) AS BIGINT) AS formatted_chars
+  CAST(sum(length(shaped)) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments,
+  CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS n_tokens
 FROM f GROUP BY conv_id
 """
 

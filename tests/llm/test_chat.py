@@ -40,6 +40,15 @@ def test_typed_parts(spark):
     assert out.n_tokens == 5 + 12 + 50 and out.loss == [False, True]
 
 
+def test_repeated_equal_and_long_turns(spark):
+    long = "<turn>\\ " * 40_000
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 0, "assistant", "a"), (2, None, "user", "first"), (2, 5, "assistant", "b"), (2, 5, "assistant", "a")]
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert tuple(got[1])[1:5] == _want([("assistant", "a"), ("user", long), ("user", long)])  # equal turns: by role, then content
+    assert tuple(got[2])[1:5] == _want([("user", "first"), ("assistant", "a"), ("assistant", "b")])
+    assert got[1].n_attachments == 0 and got[1].n_tokens == 2 * 80_000 + 1 and got[2].n_tokens == 4
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_turns(empty)).count() == 0
