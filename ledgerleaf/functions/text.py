@@ -6,7 +6,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -102,3 +102,15 @@ def canonical_text(text: pd.Series) -> pd.Series:
 def content_hash(text: Column) -> Column:
     """SHA-256 of the canonical text."""
     return F.sha2(canonical_text(text), 256)
+
+
+def timestamp_state(typed: Column, earliest: str, latest: str) -> Column:
+    """Whether a typed time reads as one and lies in a range: unreadable, too_early, too_late or plausible."""
+    at = F.try_to_timestamp(typed, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return F.when(at.isNull(), "unreadable").when(at < F.lit(earliest).cast("timestamp"), "too_early").when(at > F.lit(latest).cast("timestamp"), "too_late").otherwise("plausible")
+
+
+def records(rows: DataFrame, key: str, document: str, fields: str) -> DataFrame:
+    """(key, place, *fields): the objects of a JSON array as rows; a document without any keeps a row of nulls."""
+    found = F.from_json(document, f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in fields.split(','))}>>")
+    return rows.select(key, F.posexplode_outer(found).alias("place", "x")).select(key, "place", "x.*")

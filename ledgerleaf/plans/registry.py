@@ -1,6 +1,6 @@
 """All queries of the library outside the corpus operators, and their SQL."""
 
-from . import context, evaluation, governed, ingestion, relational, retrieval, rules  # noqa: F401  registers
+from . import context, evaluation, governed, ingestion, reading, relational, retrieval, rules  # noqa: F401  registers
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
