@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,28 @@ def atom(value: Column) -> Column:
 def fact_lines(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """(line): each row as a fact, ``name('a', 'b').``"""
     return rows.select(F.concat(F.lit(f"{name}("), F.concat_ws(", ", *(atom(F.col(c)) for c in columns)), F.lit(").")).alias("line"))
+
+
+def publish(parts: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write each table below ``folder``, then a manifest of all files' digests as the last; returns the manifest.
+
+    Without the manifest a folder isn't published: a run that ends early leaves none.
+    """
+    for name, rows in parts.items():
+        rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    _digests(spark, folder, list(parts)).write.mode("errorifexists").parquet(f"{folder}/_manifest")
+    return spark.read.parquet(f"{folder}/_manifest")
+
+
+def _digests(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{folder}/{n}" for n in names])
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("part"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def altered(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(part, file, fault): files that a published folder's manifest lacks, has with another digest, or has alone."""
+    had = spark.read.parquet(f"{folder}/_manifest").select("part", "file", F.col("sha256").alias("was"))
+    now = _digests(spark, folder, names).select("part", "file", F.col("sha256").alias("is"))
+    fault = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "missing").when(F.col("was") != F.col("is"), "altered")
+    return had.join(now, ["part", "file"], "full").select("part", "file", fault.alias("fault")).where("fault IS NOT NULL")

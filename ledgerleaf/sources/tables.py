@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,3 +75,28 @@ def load_checked(new: DataFrame, violations: DataFrame, path: str) -> int:
         raise ValueError(f"not loaded: {[r.asDict() for r in found]}")
     new.write.mode("errorifexists").parquet(path)
     return new.sparkSession.read.parquet(path).count()
+
+
+def projected(rows: DataFrame, required: dict[str, str], optional: dict[str, str]) -> DataFrame:
+    """The named columns in their types; a required one that is absent is an error, an optional one is null."""
+    lacking = sorted(set(required) - set(rows.columns))
+    if lacking:
+        raise ValueError(f"columns {lacking} are missing")
+    return rows.select(*(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (required | optional).items()))
+
+
+def swap_checked(folder: str, new: DataFrame, violations: DataFrame) -> str:
+    """Load ``new`` as a version of its own below ``folder`` and then append to the log of versions; returns its path.
+
+    Readers take the last version of the log, so they see the old one or the new one, never a mixture.
+    """
+    path, spark = f"{folder}/{uuid.uuid4().hex}", new.sparkSession
+    load_checked(new, violations, path)
+    spark.createDataFrame([(path,)], "path string").select("path", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/_versions")
+    return path
+
+
+def current_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that the last swap put in place."""
+    log = spark.read.schema("path string, at timestamp").json(f"{folder}/_versions")
+    return spark.read.parquet(log.agg(F.max_by("path", "at")).first()[0])
