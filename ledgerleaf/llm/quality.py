@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -25,7 +25,7 @@ from .common import cut, new_dir
 ORDER = 5
 CAPITAL, START, NUL = 1, 2, 3
 #: Bytes of text in a bundle, about, and symbols handled at once.
-BUNDLE, SLICE = 12 << 20, 1 << 20
+BUNDLE, SLICE = 32 << 20, 2 << 20
 #: One in so many trusted rows, by crc32 of doc_id, sets the bounds; the model is that of the others.
 FOLDS = 5
 #: Quantiles of the held-out trusted rows' deviations, per language, and how far beyond them, in parts of their distance
@@ -76,11 +76,14 @@ class Grams:
 
     def __init__(self, texts: list[str | None]):
         self.texts = texts
-        seen = np.zeros(0x110000, bool)
-        seen[START] = True
+        points = np.zeros(0x110000, bool)
         for t in texts:
             if t:
-                seen[encode(t)] = True
+                points[np.frombuffer(t.encode("utf-32-le"), "<u4")] = True
+        found = np.flatnonzero(points)
+        seen = np.zeros(0x110000, bool)
+        seen[encode("".join(map(chr, found)))] = True
+        seen[START] = True
         self.alphabet = np.flatnonzero(seen).astype(np.uint32)
         self.number = np.cumsum(seen) - 1
         self.bits = max(int(len(self.alphabet) - 1).bit_length(), 1)
@@ -120,12 +123,11 @@ class Grams:
 
     def distinct(self, which: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of some texts, and how often each comes."""
-        keys, counts = np.zeros((0, 2) if self.wide else 0, np.int64), np.zeros(0, np.int64)
-        for _, _, own in self.slices(which):
-            own, n = np.unique(own, axis=0, return_counts=True) if self.wide else np.unique(own, return_counts=True)
-            keys, at = np.unique(np.concatenate((keys, own)), axis=0, return_inverse=True)
-            counts = np.bincount(at.ravel(), np.concatenate((counts, n)), len(keys)).astype(np.int64)
-        return keys, counts
+        parts = [np.unique(own, axis=0, return_counts=True) if self.wide else np.unique(own, return_counts=True) for _, _, own in self.slices(which)]
+        if not parts:
+            return np.zeros((0, 2) if self.wide else 0, np.int64), np.zeros(0, np.int64)
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), axis=0, return_inverse=True)
+        return keys, np.bincount(at.ravel(), np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
     def strings(self, keys: np.ndarray) -> pa.Array:
         mask, out = (1 << self.bits) - 1, np.zeros((len(keys), ORDER), np.uint32)
@@ -162,7 +164,7 @@ def _bundle(name: int, ids: list, langs: list, texts: list[str | None], counted:
     keys, at = np.unique(np.concatenate((keys, rest)), axis=0, return_inverse=True)
     counts = np.bincount(at.ravel(), np.concatenate((counts, zero * 0)), len(keys)).astype(np.int64)
     raw = [(t or "").encode() for t in texts]
-    row = [name, ids, langs, [t is None for t in texts], list(map(len, raw)), zstandard.ZstdCompressor(level=1).compress(b"".join(raw))]
+    row = [name, ids, langs, [t is None for t in texts], list(map(len, raw)), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))]
     own = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), x) for x in (grams.strings(keys), pa.array(counts))]
     return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, _BUNDLES.types[:-2], strict=True)), *own], schema=_BUNDLES)
 
@@ -242,6 +244,7 @@ def _scores(bundle: pa.Table, found: pa.Table) -> pa.Table:
     else:
         order = known.argsort()
     known, logs = known[order], logs[order]
+    found_at = _places(known) if len(known) and not grams.wide else None
     n, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     for which, sizes, keys in grams.slices(list(range(len(texts)))):
         if grams.wide:
@@ -249,7 +252,7 @@ def _scores(bundle: pa.Table, found: pa.Table) -> pa.Table:
             place = np.searchsorted(_void(known), _void(distinct))
             place, keys = place[at.ravel()], distinct[at.ravel()]
         else:
-            place = np.searchsorted(known, keys)
+            place = found_at(keys)
         place = np.minimum(place, max(len(known) - 1, 0))
         if len(keys) and (not len(known) or not np.array_equal(known[place], keys)):
             raise RuntimeError("a bundle's n-grams have no probability")
@@ -262,6 +265,22 @@ def _scores(bundle: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_symbols": pa.array(n), "perplexity": pa.array(perplexity, mask=n == 0)})
 
 
+def _places(known: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Where integers lie among the sorted ``known``: by a table of hashes, and by search where that has another one."""
+    shift = np.uint64(64 - min(len(known).bit_length() + 3, 24))
+    slot = lambda keys: (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+    table = np.zeros(1 << int(64 - int(shift)), np.int32)
+    table[slot(known)] = np.arange(len(known), dtype=np.int32)
+
+    def find(keys: np.ndarray) -> np.ndarray:
+        place = table[slot(keys)].astype(np.int64)
+        other = np.flatnonzero(known[place] != keys)
+        place[other] = np.searchsorted(known, keys[other])
+        return place
+
+    return find
+
+
 def _void(keys: np.ndarray) -> np.ndarray:
     """Pairs of integers as bytes that sort like the pairs."""
     return np.ascontiguousarray(keys.astype(">u8")).view("V16").ravel()
