@@ -252,7 +252,7 @@ def _scores(bundle: pa.Table, found: pa.Table) -> pa.Table:
             place = np.searchsorted(_void(known), _void(distinct))
             place, keys = place[at.ravel()], distinct[at.ravel()]
         else:
-            place = found_at(keys)
+            place = found_at(keys) if found_at else np.zeros(len(keys), np.int64)
         place = np.minimum(place, max(len(known) - 1, 0))
         if len(keys) and (not len(known) or not np.array_equal(known[place], keys)):
             raise RuntimeError("a bundle's n-grams have no probability")
