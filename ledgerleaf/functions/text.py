@@ -21,14 +21,14 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(mapped, r"\s+", " "))
 
 
-def norm_key(text: Column) -> Column:
+def compact_key(text: Column) -> Column:
     """Capitals and digits alone."""
     return F.regexp_replace(F.upper(clean_text(text)), "[^A-Z0-9]", "")
 
 
-def relaxed_key(text: Column) -> Column:
+def lab_free_key(text: Column) -> Column:
     """The key without the single L that marks a laboratory, for keys of more than two characters."""
-    key = norm_key(text)
+    key = compact_key(text)
     return F.when((F.length(key) > 2) & key.rlike("[^L]L$"), F.substring(key, 1, F.length(key) - 1)).otherwise(key)
 
 

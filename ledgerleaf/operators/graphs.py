@@ -11,36 +11,44 @@ from .common import cut
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(src, dst) edges -> all (src, dst) with a path of one edge or more.
 
-    Paths double each round, so the rounds are the logarithm of the longest path, not its length; diamonds and cycles
-    are met by set semantics. The driver sees only whether a round found anything new.
+    Each round joins what the last one found with all that is known, so found paths double and the rounds are the
+    logarithm of the longest path; diamonds and cycles are met by set semantics. The driver sees only whether a round
+    found anything new.
     """
     known = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    size = known.count()
+    new = known.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     for _ in range(max_rounds):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = cut(known.union(longer).distinct())
-        before, size = size, known.count()
-        if size == before:
+        longer = new.join(known, F.col("b") == F.col("src")).select("a", F.col("dst").alias("c")).distinct()
+        new = cut(longer.join(known, (F.col("a") == F.col("src")) & (F.col("c") == F.col("dst")), "left_anti").select("a", F.col("c").alias("b")))
+        if new.isEmpty():
             return known
+        known = cut(known.union(new))
     raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 
-def bounded_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, node): what each root reaches, itself left out; frontier by frontier, for few roots in a large graph."""
+def bounded_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): what each root reaches, itself left out; frontier by frontier, for few roots in a large graph.
+
+    A root never takes a node twice, so cycles end, however long a chain is.
+    """
     found = frontier = cut(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return found.where("root <> node")
         found = cut(found.union(frontier))
-    return found.where("root <> node")
 
 
 def cyclic(closed: DataFrame) -> DataFrame:
-    """(node, members): nodes on a cycle, and how many nodes share it (those it reaches and that reach it)."""
-    back = closed.alias("a").join(closed.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-    return back.groupBy(F.col("a.src").alias("node")).agg(F.count_distinct("a.dst").alias("members"))
+    """(node, members): nodes on a cycle, and how many nodes share it (those it reaches and that reach it).
+
+    Nodes that reach themselves are picked first, so only paths among these are joined.
+    """
+    own = cut(closed.where("src = dst").select(F.col("src").alias("node")))
+    inner = cut(closed.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    back = inner.join(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    return back.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("members"))
 
 
 def unlocks(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.text import clean_text, norm_key, relaxed_key
+from ledgerleaf.functions.text import clean_text, compact_key, lab_free_key
 
 #: Phrases that say there is no requirement, words of alternatives, and words of standing.
 NONE_PHRASES = ["none", "n/a", "na", "no prerequisite", "nil"]
@@ -21,10 +21,10 @@ def fragments(cells: DataFrame) -> DataFrame:
 
 def resolve(found: DataFrame, codes: DataFrame) -> DataFrame:
     """Adds code to fragments: an exact code, else the only one of the same relaxed key, else none. Codes have code."""
-    exact = codes.select(F.col("code").alias("e_code"), norm_key(F.col("code")).alias("e_key")).distinct()
-    loose = codes.select("code", relaxed_key(F.col("code")).alias("l_key")).distinct().groupBy("l_key").agg(F.count("*").alias("n"), F.min("code").alias("l_code")).where("n = 1")
+    exact = codes.select(F.col("code").alias("e_code"), compact_key(F.col("code")).alias("e_key")).distinct()
+    loose = codes.select("code", lab_free_key(F.col("code")).alias("l_key")).distinct().groupBy("l_key").agg(F.count("*").alias("n"), F.min("code").alias("l_code")).where("n = 1")
     one = exact.groupBy("e_key").agg(F.min("e_code").alias("e_code"))
-    rows = found.withColumn("key", norm_key(F.col("fragment"))).withColumn("loose_key", relaxed_key(F.col("fragment")))
+    rows = found.withColumn("key", compact_key(F.col("fragment"))).withColumn("loose_key", lab_free_key(F.col("fragment")))
     rows = rows.join(one, F.col("key") == F.col("e_key"), "left").join(loose, F.col("loose_key") == F.col("l_key"), "left")
     return rows.select("owner", "pos", "fragment", F.coalesce("e_code", "l_code").alias("code"))
 
@@ -68,22 +68,25 @@ def fill_down(rows: DataFrame, partition: list[str], order: list[str], value: st
 
 def unclaimed(printed: DataFrame, claimed: DataFrame) -> DataFrame:
     """Codes that a document prints (document, code) and no extracted row claims."""
-    key = lambda df: df.select("document", norm_key(F.col("code")).alias("key")).distinct()
+    key = lambda df: df.select("document", compact_key(F.col("code")).alias("key")).distinct()
     return key(printed).join(key(claimed), ["document", "key"], "left_anti")
 
 
-def reading_order(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def reading_order(nodes: DataFrame) -> DataFrame:
     """(document, node, position): a document tree (document, node, parent, ordinal) from the root, children in order.
 
     Each node gets the path of its ancestors' ordinals, a level per join, and the paths are ranked within the document.
+    A node that is already on the path is left out, so that cycles end.
     """
     from .common import cut
 
+    nodes = cut(nodes.select("document", "node", "parent", "ordinal"))  # each level joins it, and a derived parent would be inferred anew
     path = F.array(F.struct("ordinal", "node"))
     level = cut(nodes.where("parent IS NULL").select("document", "node", path.alias("path")))
     every = level
-    for _ in range(max_depth):
+    while True:
         kids = nodes.alias("n").join(level.alias("p"), (F.col("n.document") == F.col("p.document")) & (F.col("n.parent") == F.col("p.node")))
+        kids = kids.where(~F.array_contains(F.col("p.path.node"), F.col("n.node")))
         level = cut(kids.select("n.document", "n.node", F.concat("p.path", F.array(F.struct("n.ordinal", "n.node"))).alias("path")))
         if level.isEmpty():
             break

@@ -14,9 +14,16 @@ def changed_parents(own: DataFrame, new: DataFrame) -> DataFrame:
     return gather(own, "a").join(gather(new, "b"), "parent", "full").where("NOT (a <=> b)").select("parent")
 
 
-def set_digest(rows: DataFrame) -> DataFrame:
-    """(set_name, n, digest): SHA-256 of each set's sorted member hashes (set_name, hash), whatever their order was."""
-    return rows.groupBy("set_name").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("digest"))
+def set_digest(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """(set_name, n, digest): SHA-256 over each set's member hashes (set_name, hash as hex), whatever their order was.
+
+    Members are sorted and digested within buckets of their first ``digits`` hex digits, and the buckets' digests again,
+    so that no task holds all of a large set.
+    """
+    over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    buckets = rows.groupBy("set_name", F.substring("hash", 1, digits).alias("bucket")).agg(F.count("*").alias("n"), over("hash").alias("digest"))
+    entry = F.concat_ws(":", "bucket", "digest")
+    return buckets.groupBy("set_name").agg(F.sum("n").alias("n"), over(entry).alias("digest"))
 
 
 def pair_occurrences(left: DataFrame, right: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -10,13 +10,14 @@ from ledgerleaf.functions.vectors import dot, norm
 from .common import ratio, top_rows
 
 
-def scored_pairs(queries: DataFrame, chunks: DataFrame, on: str | None = None, salts: int = 16) -> DataFrame:
+def scored_pairs(queries: DataFrame, chunks: DataFrame, on: str | None = None, salts: int | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, chunk columns): cosine of each query with every chunk it may see.
 
     ``queries`` has query_id, q and, with ``on``, an array of the values of the chunk column ``on`` in its scope (an
-    empty one is everything). Chunks are dealt into ``salts`` parts and queries copied to each, so that few scopes
-    still use many tasks. Norms are taken once per row, not per pair.
+    empty one is everything). Chunks are dealt into ``salts`` parts, as many as there are shuffle partitions where not
+    given, and queries copied to each, so that few scopes still use all tasks. Norms are taken once per row, not per pair.
     """
+    salts = salts or max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     q = queries.withColumn("q_norm", norm(F.col("q")))
     c = chunks.withColumn("v_norm", norm(F.col("v"))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -64,10 +64,12 @@ def i8_unclaimed_codes(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.unclaimed(rows, rows.where("l_returnflag <> 'R'"))
 
 
-@query("i17_reading_order", "WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 3 END AS parent FROM part), t AS (SELECT node, [node] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.node, list_append(path, n.node) FROM t JOIN n ON n.parent = t.node) SELECT 0::BIGINT AS document, node, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS position FROM t")
+@query("i17_reading_order", "WITH RECURSIVE n AS (SELECT p_partkey % 10 AS document, p_partkey AS node, CASE WHEN p_partkey >= 10 THEN (p_partkey // 10 - 1) // 3 * 10 + p_partkey % 10 END AS parent FROM part), t AS (SELECT document, node, [node] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.document, n.node, list_append(path, n.node) FROM t JOIN n ON n.parent = t.node AND n.document = t.document) SELECT document, node, CAST(row_number() OVER (PARTITION BY document ORDER BY path) - 1 AS INTEGER) AS position FROM t")
 def i17_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "part").select(F.lit(0).cast("long").alias("document"), F.col("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey > 0 THEN (p_partkey - 1) div 3 END").alias("parent"), F.col("p_partkey").alias("ordinal"))
-    return ingestion.reading_order(nodes)
+    """Ten documents, each a tree with three children to a node."""
+    k = F.col("p_partkey")
+    parent = F.when(k >= 10, F.expr("(p_partkey div 10 - 1) div 3 * 10 + p_partkey % 10"))
+    return ingestion.reading_order(table(spark, d, "part").select((k % 10).alias("document"), k.alias("node"), parent.alias("parent"), k.alias("ordinal")))
 
 
 _CLAIMS = """

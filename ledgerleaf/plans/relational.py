@@ -42,7 +42,7 @@ def s9_changed_children(spark: SparkSession, d: str) -> DataFrame:
     return relational.changed_parents(own.select("parent", "child"), new.select("parent", "child"))
 
 
-@query("s10_set_digest", "SELECT source AS set_name, count(*) AS n, sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS digest FROM documents GROUP BY source")
+@query("s10_set_digest", "WITH h AS (SELECT source, sha256(text) AS h FROM documents), b AS (SELECT source, substr(h, 1, 3) AS bucket, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM h GROUP BY ALL) SELECT source AS set_name, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)) AS digest FROM b GROUP BY source")
 def s10_set_digest(spark: SparkSession, d: str) -> DataFrame:
     return relational.set_digest(table(spark, d, "documents").select(F.col("source").alias("set_name"), F.sha2("text", 256).alias("hash")))
 
@@ -283,7 +283,7 @@ def u6_exact_accounting(spark: SparkSession, d: str) -> DataFrame:
 @query("x1_clean_text", "SELECT p_partkey, trim(regexp_replace(translate(p_name || chr(8211) || '²' || chr(160), '⁰¹²³⁴⁵⁶⁷⁸⁹‐‑‒–—―−' || chr(160), '0123456789------- '), '\\s+', ' ', 'g')) AS cleaned, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') || '2' AS key FROM part")
 def x1_clean_text(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat("p_name", F.lit("–² "))
-    return table(spark, d, "part").select("p_partkey", text.clean_text(raw).alias("cleaned"), text.norm_key(raw).alias("key"))
+    return table(spark, d, "part").select("p_partkey", text.clean_text(raw).alias("cleaned"), text.compact_key(raw).alias("key"))
 
 
 @query("x5_term_index", "WITH t AS (SELECT p_partkey, p_size % 6 AS y, p_partkey % 4 AS s FROM part) SELECT p_partkey, CAST((CASE WHEN y BETWEEN 1 AND 4 THEN y ELSE 99 END) * 10 + (CASE WHEN s BETWEEN 1 AND 2 THEN s WHEN s = 3 THEN 3 ELSE 9 END) AS INTEGER) AS term_index FROM t")
