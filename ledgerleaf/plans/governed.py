@@ -166,16 +166,16 @@ def t1_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-r AS (SELECT user_id, 0::BIGINT AS rn, []::BIGINT[] AS adm, 0::BIGINT AS event_id, false AS admitted FROM (SELECT DISTINCT user_id FROM e) UNION ALL
- SELECT e.user_id, e.rn, CASE WHEN len(list_filter(adm, lambda x: x > t - 86400000000)) < 2 THEN list_append(list_filter(adm, lambda x: x > t - 86400000000), t) ELSE list_filter(adm, lambda x: x > t - 86400000000) END, e.event_id, len(list_filter(adm, lambda x: x > t - 86400000000)) < 2 FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-SELECT user_id AS person, event_id, admitted FROM r WHERE rn > 0"""
+r AS (SELECT user_id, 0::BIGINT AS rn, []::BIGINT[] AS adm, 0::BIGINT AS event_id, false AS admitted, 0::BIGINT AS wait_s FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+ SELECT e.user_id, e.rn, CASE WHEN len(list_filter(adm, lambda x: x > t - 86400000000)) < 2 THEN list_append(list_filter(adm, lambda x: x > t - 86400000000), t) ELSE list_filter(adm, lambda x: x > t - 86400000000) END, e.event_id, len(list_filter(adm, lambda x: x > t - 86400000000)) < 2, CASE WHEN len(list_filter(adm, lambda x: x > t - 86400000000)) < 2 THEN 0 ELSE greatest(1, CAST(ceil((list_filter(adm, lambda x: x > t - 86400000000)[1] + 86400000000 - t) / 1000000) AS BIGINT)) END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id AS person, event_id, admitted, wait_s FROM r WHERE rn > 0"""
 
 
 @query("t2_rate_limit", _LIMIT)
 def t2_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Two admitted events a day for each user."""
     events = table(spark, d, "events").select(F.col("user_id").alias("person"), "event_id", "ts")
-    return folds.rate_limit(events, 2, 86_400).select("person", "event_id", "admitted")
+    return folds.rate_limit(events, 2, 86_400).select("person", "event_id", "admitted", "wait_s")
 
 
 def _stream_folder(spark: SparkSession) -> str:
@@ -194,7 +194,7 @@ def t1_session_stream(spark: SparkSession, d: str) -> DataFrame:
 def t2_rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same admissions from a stateful stream."""
     events = state.stream_of(spark, f"{d}/events.parquet").select(F.col("user_id").alias("person"), "event_id", "ts")
-    return state.run_once(state.rate_limit_stream(events, 2, 86_400), _stream_folder(spark)).select("person", "event_id", "admitted")
+    return state.run_once(state.rate_limit_stream(events, 2, 86_400), _stream_folder(spark)).select("person", "event_id", "admitted", "wait_s")
 
 
 @query("t4_fact_merge")
