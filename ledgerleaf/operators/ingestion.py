@@ -9,7 +9,7 @@ from ledgerleaf.functions.text import clean_text, compact_key, lab_free_key
 
 #: Phrases that say there is no requirement, words of alternatives, and words of standing.
 NONE_PHRASES = ["none", "n/a", "na", "no prerequisite", "nil"]
-ALTERNATIVE = r"\b(or|either|any of)\b"
+ALTERNATIVE = r"\b(or|either|any of|except(ion|ing)?|unless|equivalent|provided|if)\b"
 STANDING = r"\b(standing|permission|consent|graduating)\b"
 
 
@@ -110,3 +110,49 @@ def anchored(text: Column, quote: Column, start: Column) -> Column:
     first = F.locate(quote, text) if isinstance(quote, str) else F.call_function("locate", quote, text)
     second = F.call_function("locate", quote, text, first + 1)
     return F.when(F.length(quote) == 0, F.lit(None)).when(F.coalesce(there, F.lit(False)), start).when((first > 0) & (second == 0), first - 1)
+
+
+#: Whole cells that state there is no requirement, as they read without dashes, marks and a final stop.
+NO_REQUIREMENT = [
+    "none", "nil", "na", "none required", "no prerequisite", "no prerequisites", "no pre requisite", "no pre requisites",
+    "no prerequisite required", "no prerequisites required", "no pre requisite required", "no pre requisites required", "no prereq", "no prereqs",
+]
+
+
+def states_none(cell: Column) -> Column:
+    """Whether a whole cell says that there is no requirement, in any spelling, or has dashes alone."""
+    dashes = r"[\-‐-―−]"
+    low = F.regexp_replace(F.replace(F.lower(clean_text(F.coalesce(cell, F.lit("")))), F.lit("(s)"), F.lit("s")), r"n\s*[/.]\s*a\b", "na")
+    bare = F.regexp_replace(F.regexp_replace(low, rf"^({dashes}|\s)+|({dashes}|\s)+$", ""), rf"\.?({dashes}|\s)*$", "")
+    words = F.regexp_replace(F.regexp_replace(bare, r"([a-z])-([a-z])", "$1 $2"), r"\s+", " ")
+    return low.rlike(rf"^{dashes}({dashes}|\s)*\.?$") | words.isin(NO_REQUIREMENT)
+
+
+def unit_parts(printed: Column) -> dict[str, Column]:
+    """lecture, lab and total of a printed cell such as "3", "2/1", "(3 units)" or "23 3", where the first is a footnote mark."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(printed, F.lit("")), r"(?i)[()]|\bunits?\b", " "), r"\s+", " "))
+    own = F.regexp_replace(flat, r"^\d{1,2} (?=\d{1,2}( ?/ ?\d{1,2})?$)", "")
+    split, one = r"(\d{1,2}) ?/ ?(\d{1,2})", r"(\d{1,2})"
+    pair = own.rlike(split)
+    first = F.when(pair, F.regexp_extract(own, split, 1)).when(own.rlike(one), F.regexp_extract(own, one, 1)).cast("int")
+    second = F.when(pair, F.regexp_extract(own, split, 2).cast("int")).when(first.isNotNull(), 0)
+    return {"lecture": first, "lab": second, "total": first + second}
+
+
+def units_in_title(title: Column, printed: Column) -> dict[str, Column]:
+    """title and units where an empty cell's units stand at the title's end: a fraction, or the second of two numbers up to 6.
+
+    One number alone belongs to the title; of two the first stays with it.
+    """
+    name, empty = clean_text(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(printed, F.lit(""))) == ""
+    fraction, two = r"^(.*?)\s+(\d{1,2}\s*/\s*\d{1,2})$", r"^(.*?\s+\d{1,2})\s+([0-6])$"
+    case = lambda a, b, rest: F.when(empty & name.rlike(fraction), a).when(empty & name.rlike(two), b).otherwise(rest)
+    units = case(F.replace(F.regexp_extract(name, fraction, 2), F.lit(" "), F.lit("")), F.regexp_extract(name, two, 2), F.trim(F.coalesce(printed, F.lit(""))))
+    return {"title": case(F.trim(F.regexp_extract(name, fraction, 1)), F.regexp_extract(name, two, 1), name), "units": units}
+
+
+def course_category(code: Column, title: Column) -> Column:
+    """The category of a course by its code and title; the four names are fixed values."""
+    c, t = F.upper(clean_text(F.coalesce(code, F.lit("")))), F.upper(clean_text(F.coalesce(title, F.lit(""))))
+    last = F.contains(c, F.lit("THESIS")) | F.contains(c, F.lit("PRACTICUM")) | F.contains(t, F.lit("THESIS"))
+    return F.when(c.startswith("GE"), "General Education").when(c.rlike("^(NSTP|PATH|CWTS|ROTC)"), "NSTP / PATHFit").when(last, "Capstone / Practicum").otherwise("Core / Major")

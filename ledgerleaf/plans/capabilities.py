@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
-from ledgerleaf.operators import capabilities, governance
+from ledgerleaf.operators import capabilities, governance, ingestion
 
 from . import governed
 from . import rules as rule_plans
@@ -125,3 +125,39 @@ def p7_earliest_terms(spark: SparkSession, d: str) -> DataFrame:
     asked = facts.withColumn("curriculum", brand).join(curriculum.select("curriculum", "ids"), "curriculum").withColumn("target", F.element_at("ids", (F.pmod("subject_id", F.size("ids")) + 1).cast("int")))
     requests = asked.select(F.col("subject_id").alias("request"), "curriculum", "target", "passed", "failed", F.lit(2).alias("start"), F.lit(20).alias("last"))
     return capabilities.earliest_terms(requests, curriculum.select("curriculum", "courses"))
+
+
+_NONE_CELL = "CASE p_partkey % 10 WHEN 0 THEN 'None.' WHEN 1 THEN '— N/A —' WHEN 2 THEN 'no  Pre-requisite(s) required' WHEN 3 THEN '--' WHEN 4 THEN 'none?' WHEN 5 THEN 'PX ' || p_partkey WHEN 6 THEN 'n . a' WHEN 7 THEN 'no prereq: PX 1' WHEN 8 THEN '' ELSE 'NIL ' END"
+_NONE_WORDS = ", ".join(f"'{p}'" for p in ingestion.NO_REQUIREMENT)
+
+
+@query("x9_states_none", f"WITH c AS (SELECT p_partkey, replace(lower(trim(regexp_replace(replace(replace({_NONE_CELL}, '—', '-'), '–', '-'), '\\s+', ' ', 'g'))), '(s)', 's') AS t FROM part), n AS (SELECT p_partkey, regexp_replace(t, 'n\\s*[/.]\\s*a\\b', 'na') AS t FROM c), b AS (SELECT p_partkey, t, regexp_replace(regexp_replace(t, '^[- ]+|[- ]+$', '', 'g'), '\\.?[- ]*$', '') AS w FROM n) SELECT p_partkey, regexp_matches(t, '^-[- ]*\\.?$') OR regexp_replace(regexp_replace(w, '([a-z])-([a-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g') IN ({_NONE_WORDS}) AS none FROM b")
+def x9_states_none(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", ingestion.states_none(F.expr(_NONE_CELL)).alias("none"))
+
+
+_UNITS = "CASE p_partkey % 7 WHEN 0 THEN '(' || p_size % 9 || ')' WHEN 1 THEN p_size % 7 || ' / ' || p_size % 3 WHEN 2 THEN '23 ' || p_size % 6 WHEN 3 THEN '3 1/2 units' WHEN 4 THEN 'about ' || p_size % 8 WHEN 5 THEN '' ELSE 'n/a' END"
+
+
+@query("x6_unit_parts", "WITH u AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size % 9 WHEN 1 THEN p_size % 7 WHEN 2 THEN p_size % 6 WHEN 3 THEN 1 WHEN 4 THEN p_size % 8 END AS lecture, CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN p_size % 3 WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 0 END AS lab FROM part) SELECT p_partkey, CAST(lecture AS INTEGER) AS lecture, CAST(lab AS INTEGER) AS lab, CAST(lecture + lab AS INTEGER) AS total FROM u")
+def x6_unit_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", *(c.alias(k) for k, c in ingestion.unit_parts(F.expr(_UNITS)).items()))
+
+
+_TITLE = "p_name || CASE p_partkey % 5 WHEN 0 THEN ' 2 / 1' WHEN 1 THEN ' 4 3' WHEN 2 THEN ' 3' WHEN 3 THEN ' 1 9' ELSE '' END"
+
+
+@query("x6_units_in_title", f"WITH t AS (SELECT p_partkey, {_TITLE} AS t, CASE WHEN p_partkey % 3 = 0 THEN '5' ELSE ' ' END AS u FROM part) SELECT p_partkey, CASE WHEN u <> '5' AND regexp_matches(t, '\\s\\d{{1,2}}\\s*/\\s*\\d{{1,2}}$') THEN regexp_extract(t, '^(.*?)\\s+(\\d{{1,2}}\\s*/\\s*\\d{{1,2}})$', 1) WHEN u <> '5' AND regexp_matches(t, '\\s\\d{{1,2}}\\s+[0-6]$') THEN regexp_extract(t, '^(.*)\\s+[0-6]$', 1) ELSE t END AS title, CASE WHEN u = '5' THEN u WHEN regexp_matches(t, '\\s\\d{{1,2}}\\s*/\\s*\\d{{1,2}}$') THEN replace(regexp_extract(t, '\\s+(\\d{{1,2}}\\s*/\\s*\\d{{1,2}})$', 1), ' ', '') WHEN regexp_matches(t, '\\s\\d{{1,2}}\\s+[0-6]$') THEN regexp_extract(t, '\\s([0-6])$', 1) ELSE '' END AS units FROM t")
+def x6_units_in_title(spark: SparkSession, d: str) -> DataFrame:
+    printed = F.when(F.col("p_partkey") % 3 == 0, "5").otherwise(" ")
+    rows = table(spark, d, "part").select("p_partkey", F.expr(_TITLE).alias("t"), printed.alias("u"))
+    return rows.select("p_partkey", *(c.alias(k) for k, c in ingestion.units_in_title(F.col("t"), F.col("u")).items()))
+
+
+_CODE = "CASE p_partkey % 6 WHEN 0 THEN 'ge ' || p_size WHEN 1 THEN 'NSTP ' || p_size WHEN 2 THEN 'cs practicum' WHEN 3 THEN 'PATHFit 1' ELSE 'CS ' || p_size END"
+
+
+@query("x10_course_category", f"WITH c AS (SELECT upper({_CODE}) AS c, upper(CASE WHEN p_partkey % 12 = 4 THEN 'Thesis ' || p_name ELSE p_name END) AS t FROM part) SELECT CASE WHEN c LIKE 'GE%' THEN 'General Education' WHEN regexp_matches(c, '^(NSTP|PATH|CWTS|ROTC)') THEN 'NSTP / PATHFit' WHEN c LIKE '%THESIS%' OR c LIKE '%PRACTICUM%' OR t LIKE '%THESIS%' THEN 'Capstone / Practicum' ELSE 'Core / Major' END AS category, count(*) AS n FROM c GROUP BY 1")
+def x10_course_category(spark: SparkSession, d: str) -> DataFrame:
+    title = F.when(F.col("p_partkey") % 12 == 4, F.concat(F.lit("Thesis "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").groupBy(ingestion.course_category(F.expr(_CODE), title).alias("category")).agg(F.count("*").alias("n"))
