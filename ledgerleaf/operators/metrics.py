@@ -71,6 +71,30 @@ def rubric(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flags", flags).withColumn("critical", critical)
 
 
+#: What each axis of a rubric is lost by.
+AXES = {
+    "routing": ("route_mismatch", "silent_fallback"),
+    "evidence": ("missing_gold_span", "extra_span"),
+    "decision": ("false_approval", "false_denial", "false_abstention", "error_as_policy", "unexpected_outcome", "outcome_mismatch"),
+    "claims": ("unsupported_claim",),
+    "wording": ("language_mismatch",),
+}
+
+
+def rubric_totals(rows: DataFrame) -> DataFrame:
+    """Adds the five axes and total to the rows of ``rubric``: an axis is 1 without any of its flags, else 0.
+
+    The decision axis is null where neither side has an outcome. The total is the mean of the axes that aren't null, and
+    0 with a critical flag.
+    """
+    hit = lambda names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
+    rows = rows.withColumns({a: F.when(hit(names), 0.0).otherwise(1.0) for a, names in AXES.items()})
+    rows = rows.withColumn("decision", F.when(F.col("gold_outcome").isNotNull() | F.col("outcome").isNotNull(), F.col("decision")))
+    axes = F.array_compact(F.array(*AXES))
+    mean = F.aggregate(axes, F.lit(0.0), lambda a, x: a + x) / F.size(axes)
+    return rows.withColumn("total", F.when(F.col("critical"), 0.0).otherwise(mean))
+
+
 def exam_grade(required: Column, supplied: Column, allowed: Column, answer_right: Column, control_right: Column) -> dict[str, Column]:
     """An item is right if answer, control and sources are: all required ones are supplied, and only allowed ones."""
     source = (F.size(F.array_except(required, supplied)) == 0) & (F.size(F.array_except(supplied, allowed)) == 0)
