@@ -1,6 +1,6 @@
 """Queries of named operations, facts, margins, clauses, boxes, decisions and earliest terms."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
@@ -114,9 +114,13 @@ def j4_without_large_sales(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_earliest_terms")
 def p7_earliest_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's next part of a brand's curriculum, after what it bought; a fixpoint per term, so there is no SQL."""
-    part = table(spark, d, "part").where("p_size <= 12")
-    trees = rule_plans._trees(part.select("p_partkey")).groupBy(F.col("owner_id").alias("course")).agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "ordinal", "kind", "ref_id"))).alias("rule"))
-    courses = part.join(trees, F.col("p_partkey") == F.col("course")).select(F.col("p_brand").alias("curriculum"), F.struct("course", (F.col("p_size") % 3).alias("slot"), F.col("p_size").alias("due"), "rule").alias("c"))
+    part = table(spark, d, "part").where("p_size <= 12").select("p_brand", "p_partkey", "p_size")
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    placed = part.withColumn("at", place)
+    earlier = placed.select(F.col("p_brand").alias("brand"), F.col("at").alias("of"), F.col("p_partkey").alias("needs"))
+    placed = placed.join(earlier, (F.col("p_brand") == F.col("brand")) & (F.expr("at div 2") == F.col("of")), "left")  # a binary tree in each brand
+    node = F.struct(F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("ordinal"), F.when(F.col("needs").isNull(), "verified_none").otherwise("course").alias("kind"), F.col("needs").alias("ref_id"))
+    courses = placed.select(F.col("p_brand").alias("curriculum"), F.struct(F.col("p_partkey").alias("course"), (F.col("p_size") % 3).alias("slot"), F.col("p_size").alias("due"), F.array(node).alias("rule")).alias("c"))
     curriculum = courses.groupBy("curriculum").agg(F.array_sort(F.collect_list("c.course")).alias("ids"), F.collect_list("c").alias("courses"))
     touched = rule_plans._touched(spark, d)
     known = lambda c: F.collect_set(F.when(c, F.col("course_id")))

@@ -117,10 +117,10 @@ def c10_narrowed_chunks(spark: SparkSession, d: str) -> DataFrame:
 _FLAT = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 
 
-@query("c12_rendered_fields", f"SELECT conv_id, turn, list_bool_and(list_transform(CASE WHEN turn % 3 = 2 THEN [substr(text, 3, 10), 'zzqq'] ELSE [substr(text, 3, 10), upper(substr(text, 20, 5))] END, lambda v: contains({_FLAT.format('text')}, {_FLAT.format('v')}))) AS shown FROM conversations WHERE text IS NOT NULL")
+@query("c12_rendered_fields", f"SELECT conv_id, turn, list_bool_and(list_transform(CASE WHEN turn % 3 = 2 THEN [substr(text, 3, 10), 'zzqq'] ELSE [substr(text, 3, 10), '  ' || substr(text, 20, 5) || ' '] END, lambda v: contains({_FLAT.format('text')}, {_FLAT.format('v')}))) AS shown FROM conversations WHERE text IS NOT NULL")
 def c12_rendered_fields(spark: SparkSession, d: str) -> DataFrame:
     cutout = lambda a, n: F.substring("text", a, n)
-    values = F.when(F.col("turn") % 3 == 2, F.array(cutout(3, 10), F.lit("zzqq"))).otherwise(F.array(cutout(3, 10), F.upper(cutout(20, 5))))
+    values = F.when(F.col("turn") % 3 == 2, F.array(cutout(3, 10), F.lit("zzqq"))).otherwise(F.array(cutout(3, 10), F.concat(F.lit("  "), cutout(20, 5), F.lit(" "))))
     rows = table(spark, d, "conversations").where("text IS NOT NULL").withColumn("values", values)
     return context.rendered(rows).select("conv_id", "turn", "shown")
 
