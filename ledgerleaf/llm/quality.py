@@ -33,7 +33,7 @@ FOLDS = 5
 LOW_QUANTILE, HIGH_QUANTILE, MARGIN = 0.05, 0.95, 1.5
 #: The log perplexity of n symbols scatters by about sqrt(1 / n + 1 / LONG): in long texts by what differs between texts.
 LONG = 5000
-#: Up to so many trusted ids are broadcast (nine bytes each); beyond it the texts are shuffled once to join them.
+#: Up to so many trusted ids are broadcast (some 60 bytes each in a hash table); beyond it the texts are shuffled once to join them.
 BROADCAST_IDS = 4_000_000
 #: All letter cases and decimal digits of Unicode lie below it.
 _CASES = 0x20000
