@@ -23,7 +23,7 @@ SAMPLE_PER_LIST, SAMPLE_VALUES = 32, 1 << 24
 REPLICA_RATIO, MAX_REPLICAS = 1.15, 3
 #: A query reads lists whose centroid is at most this many times as far as its nearest one, or as a sample vector's
 #: usual distance from its own, if that is more: a vector at a list's very centre still has neighbours elsewhere.
-PROBE_RATIO = 1.13
+PROBE_RATIO = 1.15
 #: Neighbours of a centroid in the graph, the least width of a search's front, and what it expands at once.
 DEGREE, FRONT, BEAM = 24, 96, 4
 #: Posting rows, and queries, that meet in one task at once: lists are packed into groups of that size or split.
