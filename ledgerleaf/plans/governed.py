@@ -102,7 +102,16 @@ def i21_page_classes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.when(bare == 0, "blank").when(bare * 2 < F.length("html"), "markup").otherwise("text").alias("class"))
 
 
-@query("i13_packed_chunks")
+_PACKED = """
+WITH RECURSIVE l AS (SELECT doc_id AS owner, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT owner, pos, CAST(greatest(ceil(length(line) / 3), ceil(len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')) * 1.8::DOUBLE)) AS BIGINT) AS n FROM l),
+r AS (SELECT owner, pos, n, 0::BIGINT AS chunk, n AS used FROM t WHERE pos = 0
+  UNION ALL SELECT t.owner, t.pos, t.n, CASE WHEN used + t.n > 400 THEN chunk + 1 ELSE chunk END, CASE WHEN used + t.n > 400 THEN t.n ELSE used + t.n END FROM r JOIN t ON t.owner = r.owner AND t.pos = r.pos + 1)
+SELECT owner, chunk, min(pos) AS first, max(pos) AS last, count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_tokens FROM r GROUP BY owner, chunk
+"""
+
+
+@query("i13_packed_chunks", _PACKED)
 def i13_packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Every document's lines packed into chunks of 400 estimated tokens at most."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("owner"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -197,7 +206,18 @@ def t2_rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     return state.run_once(state.rate_limit_stream(events, 2, 86_400), _stream_folder(spark)).select("person", "event_id", "admitted", "wait_s")
 
 
-@query("t4_fact_merge")
+_MERGED = """
+WITH RECURSIVE e AS (SELECT user_id AS session, event_type AS course, CASE event_id % 3 WHEN 0 THEN 'taken_unknown' WHEN 1 THEN 'passed' ELSE 'failed' END AS state, CASE WHEN event_id % 10 = 0 THEN 'upload' ELSE 'statement' END AS source, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+r AS (SELECT session, course, 0::BIGINT AS i, []::STRUCT(state VARCHAR, source VARCHAR, seq BIGINT)[] AS kept FROM (SELECT DISTINCT session, course FROM e)
+  UNION ALL SELECT e.session, e.course, e.i, CASE WHEN e.state = 'taken_unknown' AND len(list_filter(kept, lambda f: f.state <> 'taken_unknown')) > 0 THEN kept
+    WHEN len(list_filter(kept, lambda f: f.source <> 'statement' AND f.state = e.state)) > 0 THEN list_filter(kept, lambda f: f.source <> 'statement')
+    ELSE list_append(list_filter(kept, lambda f: f.source <> 'statement'), {'state': e.state, 'source': e.source, 'seq': e.seq}) END FROM r JOIN e ON e.session = r.session AND e.course = r.course AND e.i = r.i + 1),
+z AS (SELECT session, course, unnest(kept) AS f FROM r WHERE (session, course, i) IN (SELECT session, course, max(i) FROM e GROUP BY 1, 2))
+SELECT session, course, f.state AS state, f.source AS source, f.seq AS seq FROM z
+"""
+
+
+@query("t4_fact_merge", _MERGED)
 def t4_fact_merge(spark: SparkSession, d: str) -> DataFrame:
     """What stands of every user's statements about each kind of course."""
     kinds = F.when(F.col("event_id") % 3 == 0, "taken_unknown").when(F.col("event_id") % 3 == 1, "passed").otherwise("failed")
