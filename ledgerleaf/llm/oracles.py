@@ -58,4 +58,50 @@ c AS (SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS times FROM p
 SELECT doc_id, domain, language, origin, n_tokens, CAST(e.epoch AS INTEGER) AS epoch FROM c, LATERAL (SELECT unnest(range(c.times)) AS epoch) AS e
 """
 
-ORACLES = {"op9_chat_format": OP9, "op10_mixing": OP10}
+OP12 = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t),
+g AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, 1 AS size, unnest(words) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) FROM w
+  ) GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, split_part(phrase, ' ', 1) AS x, split_part(phrase, ' ', 2) AS y, split_part(phrase, ' ', 3) AS z FROM g WHERE size > 1 AND f >= 10),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, x || ' ' || y AS phrase, f FROM c WHERE size = 3 UNION ALL SELECT lang, y || ' ' || z, f FROM c WHERE size = 3) GROUP BY ALL),
+k AS (
+  SELECT lang, size, phrase, f AS a, 1 AS cut, x AS head, CASE size WHEN 2 THEN y ELSE y || ' ' || z END AS rest FROM c
+  UNION ALL SELECT lang, size, phrase, f, 2, x || ' ' || y, z FROM c WHERE size = 3
+), s AS (
+  SELECT k.lang, k.phrase, k.size, k.a, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = k.head JOIN g r ON r.lang = k.lang AND r.phrase = k.rest
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, cut) = 1
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n.n, score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN longer ON longer.lang = s.lang AND longer.phrase = s.phrase
+WHERE s.size = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * a
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op9_chat_format": OP9, "op10_mixing": OP10, "op12_hard_negatives": OP12, "op13_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, mixing, pii, quality, simhash, tokens
+from . import ann, chat, collocations, decontam, html, langid, mixing, negatives, pii, quality, rules, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "mix_path.*", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, base rules, and the verdict of trees trained on all labels' classes."""
+    return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives of each of five positives of every vector whose vec_id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_quality, op3_html_text, op4_decontamination, op5_language_id, op6_pii, op7_simhash, op8_token_output, op9_chat_format, op10_mixing)
+    f.__name__: f for f in (op1_ann, op2_quality, op3_html_text, op4_decontamination, op5_language_id, op6_pii, op7_simhash, op8_token_output, op9_chat_format, op10_mixing, op11_quality_rules, op12_hard_negatives, op13_collocations)
 }
