@@ -17,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
+#: Bytes of text handled at once; a longer text is handled alone.
+SLICE = 4 << 20
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _PATTERNS = {
@@ -158,7 +162,7 @@ def _date(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     day, form = read
     while True:  # the pseudonym must read back as the same form
         day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date:{form}", back)
-        if _read_date(out := _write_date(day, form, text)) == (day, form):
+        if _read_date(out := _write_date(day, form, text)) == (day, form) and fits(out):
             return out
 
 
@@ -184,16 +188,19 @@ def _ip(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    value = permute(int.from_bytes(bytes(parts), "big"), 2**32, key, "ip", back)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    value = int.from_bytes(bytes(parts), "big")
+    while True:
+        value = permute(value, 2**32, key, "ip", back)
+        if fits(out := ".".join(map(str, value.to_bytes(4, "big")))):
+            return out
 
 
 def _email(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     """Letter case is kept apart, so that all spellings of an address are linked."""
     local, _, domain = text.rpartition("@")
     small = "".join(c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in local)
-    new = permute_text(small, key, f"email:{domain.lower()}", back)
-    return "".join(n.upper() if s != c and len(n.upper()) == 1 and n.upper().lower() == n else n for n, s, c in zip(new, small, local, strict=True)) + f"@{domain}"
+    spelt = lambda new: "".join(n.upper() if s != c and len(n.upper()) == 1 and n.upper().lower() == n else n for n, s, c in zip(new, small, local, strict=True)) + f"@{domain}"
+    return spelt(_walk(small, lambda x: permute_text(x, key, f"email:{domain.lower()}", back), lambda x: fits(spelt(x))))
 
 
 def _country(digits: str) -> int:
@@ -207,17 +214,18 @@ def _phone(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     if not 7 <= len(digits) <= 15:
         return None
     head = _country(digits) if text[0] == "+" else 0
-    return _fill(text, digits[:head] + permute_text(digits[head:], key, "phone", back))
+    filled = lambda d: _fill(text, digits[:head] + d)
+    return filled(_walk(digits[head:], lambda d: permute_text(d, key, "phone", back), lambda d: fits(filled(d))))
 
 
 def _ssn(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     digits = text.replace("-", "")
-    return _fill(text, _walk(digits, lambda d: permute_text(d, key, "ssn", back), _ssn_ok)) if _ssn_ok(digits) else None
+    return _fill(text, _walk(digits, lambda d: permute_text(d, key, "ssn", back), lambda d: _ssn_ok(d) and fits(_fill(text, d)))) if _ssn_ok(digits) else None
 
 
 def _secret(text: str, key: bytes, back: bool, fits: Fits) -> str | None:
     at = max(text.rfind('"'), text.rfind("'")) + 1
-    return text[:at] + permute_text(text[at:], key, "secret", back)
+    return text[:at] + _walk(text[at:], lambda x: permute_text(x, key, "secret", back), lambda x: fits(text[:at] + x))
 
 
 KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
@@ -303,7 +311,7 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
     for i in reversed(range(len(found))):
         kind, a, b = found[i]
         right = (text[b:end] + right)[:REACH]
-        base = _base(found[: i + 1], a) if kind in _ENDS else a
+        base = _base(found[: i + 1], a)
         new = KINDS[kind](text[a:b], key, False, _fits(text[max(base - 1, 0) : a], text[a:b], right, min(base, 1)))
         out += [text[b:end], new]
         right, end = (new + right)[:REACH], a
@@ -317,7 +325,7 @@ def _restored(text: str, key: bytes, found: list[tuple[str, int, int]]) -> str:
         left += text[end:a]
         at = off + len(left)
         old.append((kind, at, at))
-        base = _base(old, at) if kind in _ENDS else at
+        base = _base(old, at)
         new = KINDS[kind](text[a:b], key, True, _fits(left[max(base - 1, 0) - off :], text[a:b], text[b : b + REACH], min(base, 1)))
         out += [text[end:a], new]
         left, end = left + new, b
@@ -366,8 +374,7 @@ def redact(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in byte_slices(batch, "text", SLICE):
                 texts, found = zip(*(pseudonymise(t, shared.value) for t in part.column(1).to_pylist()), strict=True)
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, found)), pa.int64()), pa.array(spans, span)], names=["doc_id", "text", "n_pii", "pii"])

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,3 +99,38 @@ def test_spellings_of_one_address_are_linked():
 def test_letters_beyond_ascii_are_replaced():
     for local in ("ü", "žofie", "анна", "ÅSA"):
         assert local not in _new(f"mail {local}@x.com, please")
+
+
+@pytest.mark.parametrize("text", ["0 0 0 0 0 1980-02-29", "6891-415-555-2671", "123-45-6789-415-555-2671"])
+def test_a_pseudonym_makes_no_new_value_with_its_neighbours(text):
+    out, found = pii.pseudonymise(text, KEY)
+    assert out != text and pii.restore(out, KEY) == text and [k for k, *_ in pii.pseudonymise(out, KEY)[1]] == [k for k, *_ in found]
+
+
+OF_EVERY_KIND = ["4111 1111 1111 1111", "BE68 5390 0754 7034", "97.5.1.173", "1980-02-29", "01.02.2020", "415-555-2671", "(415) 555-2671", "+49 30 1234567", "123-45-6789", "x.y@ex.com", 'token="abcd1234efgh"']
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(OF_EVERY_KIND), st.text("0123456789", min_size=1, max_size=17)), max_size=8), st.sampled_from([" ", "-", ", ", ".", ""]))
+def test_neighbours_of_every_kind_are_restored(parts, mark):
+    text = mark.join(parts)
+    out, found = pii.pseudonymise(text, KEY)
+    assert pii.restore(out, KEY) == text and [k for k, *_ in pii.pseudonymise(out, KEY)[1]] == [k for k, *_ in found]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*OF_EVERY_KIND, "4111 1111 1111 1112", "300.1.1.1", "1980-02-30", "000-45-6789", "BE68 5390 0754 7035"]), max_size=6))
+def test_finds_what_was_put_in(values):
+    """A brute-force finder: every valid value stands between words, every invalid one is left alone."""
+    text, want = "", []
+    for v in values:
+        text += "words and "
+        if v in OF_EVERY_KIND:
+            want.append((len(text), len(text) + len(v.removesuffix('"'))))
+        text += v + " here. "
+    out, found = pii.pseudonymise(text, KEY)
+    assert [(a, b) for _, a, b in found] == want
+    at = 0
+    for a, b in [*want, (len(text), len(text))]:
+        assert out[at:a] == text[at:a] and (a == b or out[a:b] != text[a:b])
+        at = b
