@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 #: Words whose n-grams a task holds at once, and bytes of text split at once.
-BUNDLE, CHUNK = 2_500_000, 1 << 20
+BUNDLE, CHUNK = 2_000_000, 1 << 20
 #: Rows of n-grams in a shuffle partition, about.
 PART_ROWS = 2_000_000
 #: What begins (or ends) with one word is dealt to so many tasks.
@@ -31,6 +32,8 @@ SPREAD = 16
 RANK_BUCKETS = 16
 #: Bits of a word's hash beyond twice those of the vocabulary's size: a try has no collision in 97 of 100 cases.
 SPARE_BITS, MOST_BITS = 4, 62
+#: Bits of the filter of frequent words, for each of them; and at most (32 MB to each task, whatever the vocabulary).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes(0xFF if b in b".,;:!?\n\v\f\r" else b for b in range(256)).lower()
 
@@ -119,13 +122,30 @@ def _distinct(row: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield first >> bits, first & mask, triples & mask, counts
 
 
-def _grams(seed: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def frequent_filter(frequent: DataFrame) -> np.ndarray:
+    """Bits, one of which is set for each frequent word's id. A rare word may share one, which costs rows, never a count:
+    what holds a rare word is rare itself. The fuller the filter, the more rare words go on."""
+    size = min(1 << max(FILTER_BITS * frequent.count(), 1 << 15).bit_length(), MOST_FILTER_BITS)
+    at = F.col("id").bitwiseAND(size - 1) + 1
+    rows = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)  # buckets of 32,768 bits
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _grams(seed: int, width: int, filled: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _bundles(batches):
             for lang, own in held.items():
                 head = f"{seed}\t{lang}\t".encode()
                 ids = np.array([0, *(xxhash.xxh64_intdigest(head + w, 42) >> (64 - width) for w in [*own.numbers][1:])], np.int64)
-                for w1, w2, w3, counts in _distinct(own.row(), max(len(ids) - 1, 1).bit_length()):
+                bits = filled.value
+                place = ids & (8 * len(bits) - 1)
+                some = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                some[0] = False
+                row = np.where(some, np.arange(len(ids)), 0)[own.row()]  # a rare word is a break
+                for w1, w2, w3, counts in _distinct(row, max(len(ids) - 1, 1).bit_length()):
                     for x in range(0, len(counts), 65_536):
                         y = slice(x, x + 65_536)
                         third = pa.nulls(len(counts[y]), pa.int64()) if w3 is None else pa.array(ids[w3[y]])
@@ -227,11 +247,13 @@ def _scored(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def frequent_grams(docs: DataFrame, vocabulary: DataFrame, seed: int, width: int, total: int, least: int) -> DataFrame:
     """(w1, w2, w3, f): words, pairs and triples that come ``least`` times or more; what a shorter one lacks is null."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / PART_ROWS))
-    grams = docs.mapInArrow(_grams(seed, width), "w1 long, w2 long, w3 long, f long")
+    frequent = vocabulary.where(F.col("f") >= least)
+    filled = docs.sparkSession.sparkContext.broadcast(frequent_filter(frequent))
+    grams = docs.mapInArrow(_grams(seed, width, filled), "w1 long, w2 long, w3 long, f long")
     # Dealt by all words of an n-gram, which a task sends once, so none is hot; then sums need no further shuffle.
     counted = grams.repartition(parts, "w1", "w2", "w3").groupBy("w1", "w2", "w3").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     none = F.lit(None).cast("long")
-    words = vocabulary.where(F.col("f") >= least).select(F.col("id").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
+    words = frequent.select(F.col("id").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
     return cut(counted.unionByName(words))
 
 
