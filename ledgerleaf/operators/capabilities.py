@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .planning import earliest_term
-
 
 def call_states(calls: DataFrame, signatures: dict[str, tuple[str, ...]]) -> DataFrame:
     """Adds state to calls (operation, arguments: a map of strings): unsupported, missing_argument, unknown_argument or ok.
@@ -84,22 +81,3 @@ def release_curricula(members: DataFrame, ledgers: DataFrame, release: str, sche
     """The ledgers (id, body as JSON) that a release has, with their bodies read; one that doesn't read is an error."""
     own = ledgers.join(members.where(F.col("release") == release).select("id"), "id", "left_semi")
     return own.select("id", F.from_json("body", schema, {"mode": "FAILFAST"}).alias("c")).select("id", "c.*")
-
-
-def earliest_terms(requests: DataFrame, curriculum: DataFrame) -> DataFrame:
-    """(request, state, slot): the first slot at which each request's target can be taken.
-
-    Requests have request, curriculum, target, passed and failed (arrays), start and last; ``curriculum`` has one row for
-    each: curriculum and courses, an array of course, slot, due and rule. One request and its curriculum fit a task.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            courses = [{**c, "rule": list(c["rule"])} for c in r.courses] if r.courses is not None else []
-            state, slot = earliest_term(r.target, courses, {int(x) for x in r.passed}, {int(x) for x in r.failed}, r.start, r.last)
-            out.append((r.request, state, slot))
-        return pd.DataFrame(out, columns=["request", "state", "slot"]).astype({"slot": "Int64"})
-
-    joined = requests.join(curriculum, "curriculum", "left").select("request", "target", "passed", "failed", "start", "last", "courses")
-    return joined.mapInPandas(lambda batches: map(fold, batches), "request long, state string, slot long")

@@ -1,4 +1,4 @@
-"""Queries of named operations, facts, margins, clauses, boxes, decisions and earliest terms."""
+"""Queries of named operations, facts, margins, clauses, boxes and decisions."""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,26 +111,6 @@ def j4_without_large_sales(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_brand")
 
 
-@query("p7_earliest_terms")
-def p7_earliest_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer's next part of a brand's curriculum, after what it bought; a fixpoint per term, so there is no SQL."""
-    part = table(spark, d, "part").where("p_size <= 12").select("p_brand", "p_partkey", "p_size")
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    placed = part.withColumn("at", place)
-    earlier = placed.select(F.col("p_brand").alias("brand"), F.col("at").alias("of"), F.col("p_partkey").alias("needs"))
-    placed = placed.join(earlier, (F.col("p_brand") == F.col("brand")) & (F.expr("at div 2") == F.col("of")), "left")  # a binary tree in each brand
-    node = F.struct(F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("ordinal"), F.when(F.col("needs").isNull(), "verified_none").otherwise("course").alias("kind"), F.col("needs").alias("ref_id"))
-    courses = placed.select(F.col("p_brand").alias("curriculum"), F.struct(F.col("p_partkey").alias("course"), (F.col("p_size") % 3).alias("slot"), F.col("p_size").alias("due"), F.array(node).alias("rule")).alias("c"))
-    curriculum = courses.groupBy("curriculum").agg(F.array_sort(F.collect_list("c.course")).alias("ids"), F.collect_list("c").alias("courses"))
-    touched = rule_plans._touched(spark, d)
-    known = lambda c: F.collect_set(F.when(c, F.col("course_id")))
-    facts = touched.groupBy("subject_id").agg(known(F.col("l_returnflag") != "R").alias("passed"), known(F.col("l_returnflag") == "R").alias("failed"))
-    brand = F.concat(F.lit("Brand#"), (F.col("subject_id") % 25 + 1).cast("string"))
-    asked = facts.withColumn("curriculum", brand).join(curriculum.select("curriculum", "ids"), "curriculum").withColumn("target", F.element_at("ids", (F.pmod("subject_id", F.size("ids")) + 1).cast("int")))
-    requests = asked.select(F.col("subject_id").alias("request"), "curriculum", "target", "passed", "failed", F.lit(2).alias("start"), F.lit(20).alias("last"))
-    return capabilities.earliest_terms(requests, curriculum.select("curriculum", "courses"))
-
-
 _NONE_CELL = "CASE p_partkey % 10 WHEN 0 THEN 'None.' WHEN 1 THEN '— N/A —' WHEN 2 THEN 'no  Pre-requisite(s) required' WHEN 3 THEN '--' WHEN 4 THEN 'none?' WHEN 5 THEN 'PX ' || p_partkey WHEN 6 THEN 'n . a' WHEN 7 THEN 'no prereq: PX 1' WHEN 8 THEN '' ELSE 'NIL ' END"
 _NONE_WORDS = ", ".join(f"'{p}'" for p in ingestion.NO_REQUIREMENT)
 

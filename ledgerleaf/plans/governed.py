@@ -158,17 +158,6 @@ def p4_load(spark: SparkSession, d: str) -> DataFrame:
     return planning.load_status(_plan_courses(spark, d), 120.0)
 
 
-@query("p3_plan_check")
-def p3_plan_check(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer's orders as terms of a plan: outcome, counts and load of each term."""
-    trees = rule_plans._trees(table(spark, d, "part").select("p_partkey"))
-    rules = trees.groupBy(F.col("owner_id").alias("course")).agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "ordinal", "kind", "ref_id"))).alias("rule"))
-    touched = rule_plans._touched(spark, d)
-    known = lambda c: F.collect_set(F.when(c, F.col("course_id")))
-    facts = touched.groupBy(F.col("subject_id").alias("plan_id")).agg(known(F.col("l_returnflag") == "A").alias("passed"), known(F.col("l_returnflag") == "R").alias("failed"))
-    return planning.check_plans(_plan_courses(spark, d), facts, rules, 120.0)
-
-
 @query("t1_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id AS key, CAST(session AS BIGINT) AS session, count(*) AS n FROM s GROUP BY ALL")
 def t1_sessions(spark: SparkSession, d: str) -> DataFrame:
     return folds.sessions(table(spark, d, "events").select(F.col("user_id").alias("key"), "ts"), 1800).select("key", "session", "n")

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import capabilities, ingestion, reading, releases
 
-from .test_planning import FREE, rule
 
 
 def one(spark, column, **values):
@@ -71,11 +70,3 @@ def test_near_leaks(spark):
 def test_call_states(spark):
     calls = spark.createDataFrame([("f", {"a": "1"}), ("f", {"a": ""}), ("f", {"a": "1", "b": "2"}), ("g", {})], "operation string, arguments map<string,string>")
     assert [r.state for r in capabilities.call_states(calls, {"f": ("a",)}).collect()] == ["ok", "missing_argument", "unknown_argument", "unsupported"]
-
-
-def test_earliest_terms(spark):
-    kind = "array<struct<course:long,slot:int,due:int,rule:array<struct<node_id:int,parent_id:int,ordinal:int,kind:string,ref_id:long>>>>"
-    curriculum = spark.createDataFrame([("c", [(1, 0, 0, FREE), (2, 1, 1, rule("course", 1))])], f"curriculum string, courses {kind}")
-    asked = [(1, "c", 2, [], [], 0, 9), (2, "c", 2, [2], [], 0, 9), (3, "none", 2, [], [], 0, 9)]
-    requests = spark.createDataFrame(asked, "request long, curriculum string, target long, passed array<long>, failed array<long>, start int, last int")
-    assert {(r.request, r.state, r.slot) for r in capabilities.earliest_terms(requests, curriculum).collect()} == {(1, "found", 1), (2, "already_passed", None), (3, "not_found", None)}

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from ledgerleaf.operators import graphs, planning, rules
+from ledgerleaf.operators import graphs, rules
+
+from . import planning_brute as brute
 
 NODES = "owner_id long, node_id int, parent_id int, ordinal int, depth int, kind string, ref_id long"
 FACTS = "subject_id long, course_id long, passed boolean, failed boolean, enrolled boolean"
@@ -52,22 +54,15 @@ def test_lists_of_a_conflict_and_of_a_first_choice(spark):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_plan_kernel_agrees_with_the_tables(spark, seed):
+def test_trees_equal_a_recursion(spark, seed):
     rng = random.Random(seed)
-    nodes, trees = [], {}
-    for owner in range(40):
-        tree = [(0, None, 0, 0, rng.choice(["all_of", "any_of"]), None)]
-        for i in range(1, rng.randint(2, 4)):
-            tree.append((i, 0, i, 1, rng.choice(["course", "co_requisite", "all_of", "any_of", "unresolved"]), rng.randint(0, 5)))
-        for n in [t for t in tree if t[3] == 1 and t[4] in ("all_of", "any_of")]:
-            tree += [(10 * n[0] + j, n[0], j, 2, "course", rng.randint(0, 5)) for j in range(2)]
-        nodes += [(owner, *t) for t in tree]
-        trees[owner] = [dict(zip(("node_id", "parent_id", "ordinal", "depth", "kind", "ref_id"), t)) for t in tree]
+    trees = {o: brute.some_rule(rng, list(range(6))) for o in range(40)}
     passed, failed, enrolled = ({c for c in range(6) if rng.random() < 0.4} for _ in range(3))
     facts = [(0, c, c in passed, c in failed, c in enrolled) for c in range(6)]
     asked = spark.createDataFrame([(0, o) for o in trees], "subject_id long, owner_id long")
+    nodes = [n for o, t in trees.items() for n in brute.nodes_of(o, t)]
     got = {r.owner_id: r.outcome for r in rules.evaluate(asked, spark.createDataFrame(nodes, NODES), spark.createDataFrame(facts, FACTS), 2).collect()}
-    assert got == {o: planning.outcome(t, passed, failed, enrolled) for o, t in trees.items()}
+    assert got == {o: brute.named(brute.verdict(t, passed, failed, enrolled)) for o, t in trees.items()}
 
 
 def test_closure_and_cycles(spark):
