@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Levels of a search that are held as parts before they are written as one.
+LEVELS = 16
+
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(src, dst) edges -> all (src, dst) with a path of one edge or more.
@@ -31,13 +36,16 @@ def bounded_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     A root never takes a node twice, so cycles end, however long a chain is.
     """
-    found = frontier = cut(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
-    while True:
+    frontier = cut(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
+    levels = [frontier]
+    while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(found, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return found.where("root <> node")
-        found = cut(found.union(frontier))
+        known = reduce(DataFrame.union, levels).select(F.col("root").alias("r"), F.col("node").alias("n"))
+        frontier = cut(step.join(known, (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti"))
+        levels.append(frontier)
+        if len(levels) == LEVELS:  # long chains would else be a plan of as many parts
+            levels = [cut(reduce(DataFrame.union, levels))]
+    return reduce(DataFrame.union, levels).where("root <> node")
 
 
 def cyclic(closed: DataFrame) -> DataFrame:

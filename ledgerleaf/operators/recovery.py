@@ -119,8 +119,8 @@ def _best(r: dict[str, Column], variant: Column) -> Column:
 
 def delayed_courses(requests: DataFrame, facts: DataFrame, curriculum: DataFrame, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """One row for each request with the array of its delayed courses, and its other courses (request, course, due, kept, assumed)."""
-    leaves = rules.leaf_paths(nodes, depth)
-    uses = leaves.where(F.col("ref_id").isNotNull()).select(F.col("ref_id").cast("long").alias("src"), F.col("owner_id").alias("dst")).distinct()
+    leaves = stored(rules.leaf_paths(nodes, depth))
+    uses = stored(leaves.where(F.col("ref_id").isNotNull()).select(F.col("ref_id").cast("long").alias("src"), F.col("owner_id").alias("dst")).distinct())
     reached = bounded_closure(uses, requests.select(F.col("failed_course").alias("root")).distinct())
     place = curriculum.select("curriculum", "course", "due", "units", "ord")
     own = requests.join(place.select("curriculum", F.col("course").alias("failed_course"), F.col("due").alias("failed_due")), ["curriculum", "failed_course"])
@@ -139,7 +139,7 @@ def delayed_courses(requests: DataFrame, facts: DataFrame, curriculum: DataFrame
     need = blocked.select("request", "course").join(needs.select(F.col("root").alias("course"), "node"), "course")
     need = need.join(due_of, ["request", "node"], "left").groupBy("request", "course").agg(F.min("needed").alias("need"), F.count("*").alias("unlocks"))
     # Conditions: of a delayed course by its place in the array, of another by the term after which it counts.
-    waits = blocked.select("request", "course").join(rules.alternatives(nodes, depth).withColumnRenamed("owner_id", "course"), "course")
+    waits = blocked.select("request", "course").join(rules.alternatives(leaves, depth).withColumnRenamed("owner_id", "course"), "course")
     parts = waits.select("request", "course", F.posexplode_outer("alternatives").alias("a", "xs")).select("request", "course", "a", F.col("xs").isNotNull().alias("is_one"), F.posexplode_outer("xs").alias("b", "x"))
     numbered = blocked.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("ord", "course"))).alias("all"))
     numbered = numbered.select("request", F.posexplode("all").alias("i", "c")).select("request", F.col("c.course").alias("ref"), (F.col("i") + 1).alias("i"))
@@ -152,6 +152,7 @@ def delayed_courses(requests: DataFrame, facts: DataFrame, curriculum: DataFrame
     index = F.when(F.col("had"), 0).otherwise(F.coalesce("i", F.lit(0)))
     cond = F.when(F.col("ref").isNotNull(), F.struct(index.cast("int").alias("i"), at.cast("int").alias("at"), F.col("x.co").alias("co")))
     lists = parts.where("is_one").groupBy("request", "course", "a").agg(F.collect_list(cond).alias("xs")).groupBy("request", "course").agg(F.collect_list("xs").alias("alternatives"))
+    lists = stored(lists)
     full = blocked.join(numbered.withColumnRenamed("ref", "course"), ["request", "course"]).join(need, ["request", "course"], "left").join(lists, ["request", "course"], "left")
     entry = F.struct(F.col("i").cast("int").alias("i"), "course", F.col("due").cast("int").alias("due"), (F.col("due") % 3).cast("int").alias("own"), F.col("units").cast("double").alias("units"), F.col("need").cast("int").alias("need"), F.coalesce("unlocks", F.lit(0)).cast("int").alias("unlocks"), "failed", F.coalesce("alternatives", F.array().cast("array<array<struct<i:int,at:int,co:boolean>>>")).alias("alternatives"))
     paired = F.max(F.exists(F.coalesce("alternatives", F.array().cast("array<array<struct<i:int,at:int,co:boolean>>>")), lambda a: F.exists(a, lambda x: x.co & (x.i > 0))))

@@ -69,7 +69,7 @@ def test_earliest_terms_equal_a_loop(spark, seed):
 def test_alternatives_mean_the_same(spark, seed):
     rng = random.Random(seed)
     trees = {o: brute.some_rule(rng, list(range(6))) for o in range(60)}
-    got = {r.owner_id: [[tuple(x) for x in a] for a in r.alternatives] for r in rules.alternatives(_nodes(spark, trees), 2).collect()}
+    got = {r.owner_id: [[tuple(x) for x in a] for a in r.alternatives] for r in rules.alternatives(rules.leaf_paths(_nodes(spark, trees), 2), 2).collect()}
     for o, r in trees.items():
         for _ in range(20):
             passed, enrolled = ({c for c in range(6) if rng.random() < 0.5} for _ in range(2))
