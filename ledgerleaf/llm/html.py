@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,12 +17,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements whose content is never the article's.
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "textarea", "option", "iframe", "object", "svg", "canvas", "dialog", "menu", "audio", "video", "header"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of a class or id that name what is not the article, and the points they cost: an element stays all the same if
-#: its paragraphs earn more.
+#: Words of a class or id that name what is not the article, and the points they cost. An element at GOES goes however much
+#: its paragraphs earn (a long discussion is none the more the article), unless it is the article's own wrapper; another
+#: stays all the same if they earn more.
+GOES = -200.0
 NAMES = {
     w: cost
     for cost, words in {
-        -200.0: "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar "
+        GOES: "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar "
         "footer comment comments commentlist discussion disqus replies newsletter share sharing",
         -25.0: "promotion banner consent notice alert popup modal overlay aside widget related recommended social follow header masthead copyright reply respond subscribe subscription signup login search hidden",
     }.items()
@@ -37,7 +40,8 @@ PARAGRAPHS = {"p", "pre", "td", "blockquote", "dd", "li"}
 #: Ancestors that get all points of the paragraphs within, however deep; others get a half, a third and so on.
 WHOLE = {"article"}
 START_POINTS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0}
-MAX_DEPTH = 400
+#: What lies outside all elements that go must earn so many points, about a paragraph, or there is no other article.
+LEAST_OUTSIDE = 3.0
 #: Bytes of pages that a task reads at once.
 SLICE = 4 << 20
 _TAIL = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
@@ -47,12 +51,15 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: its children are nodes and strings, in page order."""
 
-    __slots__ = ("children", "cost", "dropped", "links", "parent", "points", "size", "tag")
+    __slots__ = ("block", "children", "cost", "dropped", "links", "parent", "points", "size", "tag", "whole")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, cost: float = 0.0):
         self.tag, self.parent, self.dropped, self.cost = tag, parent, dropped, cost
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
+        #: The nearest element, itself included, that is a block of text, and that gets all points from below.
+        self.block: Node | None = self if parent is None or tag in BLOCKS else parent.block
+        self.whole: Node | None = self if tag in WHOLE else parent.whole if parent else None
 
 
 def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -71,9 +78,10 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 def _cost(tag: str, attrs: list[tuple[str, str | None]]) -> float:
     """What the names of an element cost: those of its dearest word."""
-    if tag in KEPT:
+    if tag in KEPT - {"article"}:
         return 0.0
-    words = (w for name, value in attrs if name in ("class", "id") for w in re.split(r"[^a-z0-9]+", (value or "").lower()))
+    # Of an article only whole names count: each comment of a discussion may be one.
+    words = (w for name, value in attrs if name in ("class", "id") for w in re.split(r"\s+" if tag == "article" else r"[^a-z0-9]+", (value or "").lower()))
     return min((NAMES.get(w, 0.0) for w in words), default=0.0)
 
 
@@ -83,10 +91,13 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
-        self.depth = 0
+        #: How many elements of each tag are open, so that no search for one goes all the way up in vain.
+        self.open: Counter[str] = Counter()
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         node = self.at
+        if not any(self.open[t] for t in tags):
+            return
         while node.parent is not None and node.tag not in within:
             if node.tag in tags:
                 self._leave(node)
@@ -95,10 +106,10 @@ class Tree(HTMLParser):
 
     def _leave(self, node: Node) -> None:
         while self.at is not node:
+            self.open[self.at.tag] -= 1
             self.at = self.at.parent
-            self.depth -= 1
+        self.open[node.tag] -= 1
         self.at = node.parent
-        self.depth -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -109,15 +120,16 @@ class Tree(HTMLParser):
             self._close({k for k, v in CLOSED_BY.items() if tag in v}, SCOPES[tag])
         node = Node(tag, self.at, _dropped(tag, attrs), _cost(tag, attrs))
         self.at.children.append(node)
-        if tag not in VOID and self.depth < MAX_DEPTH:  # deeper elements are siblings, which keeps their text
-            self.at, self.depth = node, self.depth + 1
+        if tag not in VOID:
+            self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
-        while node.parent is not None:
+        while self.open[tag] and node.parent is not None:
             if node.tag == tag:
                 self._leave(node)
                 return
@@ -155,21 +167,49 @@ def _score(nodes: list[Node]) -> None:
     for node in nodes:
         node.points = START_POINTS.get(node.tag, 0.0) + node.cost
     texts: dict[int, list[str]] = {}
+    for node in nodes:  # of a block: its own, then those of its inline elements
+        texts.setdefault(id(node.block), []).extend(c for c in node.children if isinstance(c, str))
     for node in reversed(nodes):
         own = [c for c in node.children if isinstance(c, str)]
         kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
         node.size = sum(len(_SPACE.sub(" ", t).strip()) for t in own) + sum(k.size for k in kids)
         node.links = node.size if node.tag == "a" else sum(k.links for k in kids)
-        mine = own + [t for k in kids if k.tag not in BLOCKS for t in texts.get(id(k), ())]
-        texts[id(node)] = mine
-        text = _SPACE.sub(" ", "".join(mine)).strip()
+        text = _SPACE.sub(" ", "".join(texts.get(id(node), ()))).strip()
         if text and (node.tag in PARAGRAPHS or node.tag in BLOCKS and any(t.strip() for t in own)) and node.tag not in {"h1", "h2", "h3", "h4", "h5", "h6"}:
             gained = 1 + text.count(",") + min(len(text) / 100, 3)
             above, level = node.parent if node.tag in PARAGRAPHS else node, 1
-            while above is not None:
-                if level <= 5 or above.tag in WHOLE:
-                    above.points += gained if above.tag in WHOLE else gained / level
+            while above is not None and level <= 5:
+                above.points += gained if above.tag in WHOLE else gained / level
                 above, level = above.parent, level + 1
+            above = above.whole if above else None
+            while above is not None:
+                above.points += gained
+                above = above.parent.whole if above.parent else None
+
+
+def _going(nodes: list[Node]) -> list[Node]:
+    """The outermost elements whose names say that they go: all, but those around the article itself.
+
+    Such a wrapper holds an article, main or h1 element that no such name stands around below it. Where nothing else on
+    the page earns a paragraph's points, all stay.
+    """
+    named = {id(n) for n in nodes if n.cost <= GOES}
+    if not named:
+        return []
+    under: dict[int, Node | None] = {}  # the innermost such element around a node, itself included
+    wraps: set[int] = set()
+    outside = 0.0
+    for node in nodes:
+        above = under.get(id(node.parent)) if node.parent else None
+        under[id(node)] = node if id(node) in named else above
+        if node.tag in {"article", "main", "h1"} and above is not None and id(node) not in named:
+            wraps.add(id(above))
+    for node in nodes:
+        if node.tag in PARAGRAPHS:
+            inner = under[id(node)]
+            if inner is None or id(inner) in wraps:
+                outside += 1 + sum(c.count(",") + len(c) / 100 for c in node.children if isinstance(c, str) and c.strip())
+    return [n for n in nodes if id(n) in named and id(n) not in wraps] if outside >= LEAST_OUTSIDE else []
 
 
 def _value(node: Node) -> float:
@@ -207,6 +247,11 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     nodes = _nodes(root)
+    for node in _going(nodes):
+        node.dropped = True
+    nodes = _nodes(root)
+    for node in nodes:
+        node.cost = 0.0 if node.cost <= GOES else node.cost  # the article's own wrapper
     _score(nodes)
     named = [n for n in nodes if n.cost and n.points < 0]
     if named:  # what its paragraphs don't redeem goes, with the points it gave
@@ -240,7 +285,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Takes page_id, url and html; other columns are ignored. The container of the best score is the article, with those of
     its siblings that score a fifth of it, and a heading beside it; of equal scores the outermost and first. A null or empty html, and a page without any text, give an
-    empty text; null ids and urls stay; repeated rows stay. Broken and cut-off markup is read as far as it goes.
+    empty text; elements nest to any depth; null ids and urls stay; repeated rows stay. Broken and cut-off markup is read as far as it goes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

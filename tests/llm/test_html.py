@@ -114,3 +114,27 @@ def test_ties_and_long_pages():
     assert html.main_text(page(two)) == "\n".join([ARTICLE.strip()] * 2)  # equal containers are siblings of the best
     long = page("<article>" + f"<p>{ARTICLE}</p>" * 20_000 + "</article>")
     assert html.main_text(long).count("\n") == 19_999
+
+
+@pytest.mark.parametrize("n", [1, 30, 60, 300, 3000])
+def test_comments_go_however_long(n):
+    story = [f"Paragraph {i} of the story, with some words, and more of them, until it is long enough." for i in range(5)]
+    for tag, name in (("div", "comments"), ("section", "comment-list"), ("div", "sidebar")):
+        inner = "".join(f'<article class="comment"><p>Reader {i} says, at length, that it is, well, a very long comment on it all.</p></article>' for i in range(n))
+        page = f'<html><body><div class="page"><h1>Story</h1><div class="text">{"".join(f"<p>{p}</p>" for p in story)}</div><{tag} class="{name}">{inner}</{tag}></div></body></html>'
+        assert html.main_text(page).split("\n")[-5:] == story
+
+
+def test_a_named_wrapper_of_the_article_stays():
+    story = "".join(f"<p>Paragraph {i} of the story, with some words, and more of them, until it is long.</p>" for i in range(5))
+    for inner in (f"<main>{story}</main>", f"<article>{story}</article>", f"<h1>T</h1><div>{story}</div>", f"<div>{story}</div>"):
+        assert html.main_text(f'<body><div class="with-sidebar">{inner}</div></body>').count("Paragraph") == 5
+
+
+@pytest.mark.parametrize("depth", [10, 405, 1000, 20000])
+def test_depth_leaks_nothing(depth):
+    story = "".join(f"<p>Paragraph {i} of the story, with some words, and more of them, until it is long.</p>" for i in range(5))
+    hidden = "<script>var evil=1;</script><nav>MENU</nav><div hidden>HIDDEN</div>"
+    for tag in ("div", "span"):
+        text = html.main_text(f"<body><article>{story}" + f"<{tag}>" * depth + f"deep words {hidden}" + f"</{tag}>" * depth + "</article></body>")
+        assert text.count("Paragraph") == 5 and "deep words" in text and not any(w in text for w in ("evil", "MENU", "HIDDEN"))
