@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import top_rows, upto_here
+from .common import cut, top_rows, upto_here
 
 #: Ordinals and the words for years and semesters, English and Filipino.
 YEARS = {1: "first|1st|una|unang", 2: "second|2nd|ikalawa|ikalawang", 3: "third|3rd|ikatlo|ikatlong", 4: "fourth|4th|ikaapat|ika-apat"}
@@ -222,10 +222,12 @@ def key_paths(rows: DataFrame, key: str, document: str, names: list[str]) -> Dat
     level = rows.select(key, F.lit("").alias("path"), F.col(document).alias("body")).where("body IS NOT NULL")
     found = None
     while True:
-        objects = level.where(r"body RLIKE '^\\s*\\{'").select(key, "path", F.explode(F.from_json("body", "map<string,string>")).alias("name", "inner"))
-        arrays = level.where(r"body RLIKE '^\\s*\\['").select(key, "path", F.posexplode(F.from_json("body", "array<string>")).alias("name", "inner"))
-        joined = F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("name").cast("string"))
-        each = objects.select(key, "name", joined.alias("path"), F.col("inner").alias("body")).withColumn("own", F.lit(True)).union(arrays.select(key, F.col("name").cast("string"), joined.alias("path"), F.col("inner").alias("body")).withColumn("own", F.lit(False)))
+        # One explode for both kinds: an object's keys by name, an array's elements by place.
+        is_object = F.col("body").rlike(r"^\s*\{")
+        inner = F.when(is_object, F.transform(F.map_entries(F.from_json("body", "map<string,string>")), lambda e: F.struct(e.key.alias("name"), e.value.alias("body")))).otherwise(F.transform(F.from_json("body", "array<string>"), lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("body"))))
+        opened = level.where(r"body RLIKE '^\\s*[\\[{]'").select(key, "path", is_object.alias("own"), F.explode(inner).alias("e"))
+        joined = F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("e.name"))
+        each = cut(opened.select(key, "own", F.col("e.name").alias("name"), joined.alias("path"), F.col("e.body").alias("body")))
         hits = each.where(F.col("own") & F.lower("name").isin([n.lower() for n in names])).select(key, "path")
         found = hits if found is None else found.union(hits)
         level = each.where(r"body RLIKE '^\\s*[\\[{]'").select(key, "path", "body")

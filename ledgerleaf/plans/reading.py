@@ -74,7 +74,7 @@ def x23_grade_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MATCH = """
-WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS text_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM conversations WHERE text IS NOT NULL AND conv_id % 4 <> 1),
+WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS text_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM conversations WHERE text IS NOT NULL),
 terms AS (SELECT array_to_string(w[1:n], ' ') AS term, n, min(text_id) AS id FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE text_id % 3 = 0 AND len(w) >= n GROUP BY ALL),
 runs AS (SELECT text_id, n, unnest(range(len(w) - n + 1)) AS start, w FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
 f AS (SELECT text_id, start, r.n, term, id, row_number() OVER (PARTITION BY text_id ORDER BY r.n DESC, start, term, id) AS i FROM runs r JOIN terms s ON s.n = r.n AND s.term = array_to_string(w[start + 1:start + r.n], ' ')),
@@ -87,7 +87,7 @@ SELECT text_id, CAST(start AS INTEGER) AS start, term, id FROM g WHERE start IS
 
 @query("j12_dictionary_matches", _MATCH)
 def j12_dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "conversations").where("text IS NOT NULL AND conv_id % 4 <> 1").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tokens"))
+    texts = table(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tokens"))
     sizes = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n")
     terms = texts.where("text_id % 3 = 0").select("text_id", "tokens", sizes).where(F.size("tokens") >= F.col("n")).groupBy(F.array_join(F.slice("tokens", F.lit(1), F.col("n")), " ").alias("term")).agg(F.min("text_id").alias("id"))
     return reading.dictionary_matches(texts, terms, 3)
@@ -95,7 +95,7 @@ def j12_dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
 
 _BOX = {"item": ("l_orderkey % 40", "l_partkey * 10 + l_linenumber", "l_partkey % 90", "l_suppkey * 7 % 83", "l_quantity", 4), "region": ("p_partkey % 40", "p_partkey", "p_partkey * 3 % 80", "p_partkey * 7 % 70", "p_size", 9)}
 _ATTACH = """
-WITH i AS (SELECT DISTINCT l_orderkey % 40 AS page, l_orderkey * 10 + l_linenumber AS item, (l_partkey % 90)::DOUBLE AS l, (l_partkey % 90 + 6)::DOUBLE AS r, (l_suppkey * 7 % 83)::DOUBLE AS t, (l_suppkey * 7 % 83 + 4)::DOUBLE AS b FROM lineitem WHERE l_linenumber = 1),
+WITH i AS (SELECT DISTINCT l_orderkey % 40 AS page, l_orderkey * 10 + l_linenumber AS item, (l_partkey % 90)::DOUBLE AS l, (l_partkey % 90 + 6)::DOUBLE AS r, (l_suppkey * 7 % 83)::DOUBLE AS t, (l_suppkey * 7 % 83 + 4)::DOUBLE AS b FROM lineitem),
 g AS (SELECT p_partkey % 40 AS page, p_partkey AS region, (p_partkey * 3 % 80)::DOUBLE AS l, (p_partkey * 3 % 80 + p_size)::DOUBLE AS r, (p_partkey * 7 % 70)::DOUBLE AS t, (p_partkey * 7 % 70 + 9)::DOUBLE AS b FROM part),
 p AS (SELECT i.item, region, CASE WHEN (i.l + i.r) / 2 BETWEEN g.l AND g.r AND (i.t + i.b) / 2 BETWEEN g.t AND g.b THEN -1 WHEN g.b <= (i.t + i.b) / 2 AND g.b >= (i.t + i.b) / 2 - 12 AND g.l <= i.r AND g.r >= i.l THEN (i.t + i.b) / 2 - g.b END AS far FROM i JOIN g ON i.page = g.page),
 m AS (SELECT item, min(far) AS least FROM p WHERE far IS NOT NULL GROUP BY item), c AS (SELECT p.item, count(*) AS n, min(region) AS region FROM p JOIN m ON m.item = p.item AND far = least GROUP BY p.item)
@@ -106,7 +106,7 @@ SELECT i.item, CASE WHEN n = 1 THEN region END AS region FROM i LEFT JOIN c ON c
 @query("j10_attached_items", _ATTACH)
 def j10_attached_items(spark: SparkSession, d: str) -> DataFrame:
     box = lambda x, w, y, h: [x.cast("double").alias("left"), (x + w).cast("double").alias("right"), y.cast("double").alias("top"), (y + h).cast("double").alias("bottom")]
-    items = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 40).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), *box(F.col("l_partkey") % 90, 6, F.col("l_suppkey") * 7 % 83, 4)).distinct()
+    items = table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), *box(F.col("l_partkey") % 90, 6, F.col("l_suppkey") * 7 % 83, 4)).distinct()
     regions = table(spark, d, "part").select((F.col("p_partkey") % 40).alias("page"), F.col("p_partkey").alias("region"), *box(F.col("p_partkey") * 3 % 80, F.col("p_size"), F.col("p_partkey") * 7 % 70, 9))
     return reading.attached(items, regions, 12.0)
 

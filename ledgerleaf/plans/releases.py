@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import releases
 from ledgerleaf.operators.common import new_dir
-from ledgerleaf.sources import sinks, tables
+from ledgerleaf.sources import commits, sinks, tables
 
 from .base import query, table
 
@@ -26,6 +26,31 @@ def r3_pointer_moves(spark: SparkSession, d: str) -> DataFrame:
     return releases.pointer_moves(events, events.where("release % 3 <> 0").select("release"))
 
 
+_WRITES = """
+WITH n AS (SELECT count(*) FILTER (WHERE p_size <= 25) AS a, count(*) FILTER (WHERE p_size > 25) AS b FROM part), s AS (SELECT count(*) AS s FROM supplier)
+SELECT CAST(version AS BIGINT) AS version, action, release, active, superseded, CASE WHEN action = 'draft' THEN CASE release WHEN 'r1' THEN a ELSE b END END AS n_parts, CASE WHEN action = 'draft' THEN s END AS n_suppliers
+FROM n, s, (VALUES (0, 'draft', 'r1', NULL, NULL), (1, 'activate', 'r1', 'r1', NULL), (2, 'draft', 'r2', 'r1', NULL), (3, 'activate', 'r2', 'r2', 'r1'), (4, 'rollback', 'r1', 'r1', 'r2')) v(version, action, release, active, superseded)
+UNION ALL SELECT 5, 'read', 'r1', NULL, NULL, a, s FROM n, s
+"""
+
+
+@query("r1_release_writes", _WRITES)
+def r1_release_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Two releases created with their members, activated, and one rolled back; the log replayed, and what a reader then gets."""
+    folder = new_dir(spark, "releases")
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    none = supplier.where("id IS NULL")
+    for name, own in (("r1", "p_size <= 25"), ("r2", "p_size > 25")):
+        commits.create_release(spark, folder, name, {"parts": part.where(own).select(F.col("p_partkey").alias("id")), "suppliers": supplier}, ["parts"])
+        commits.activate(spark, folder, name, none)
+    commits.rollback(spark, folder, "r1", none)
+    n = lambda k: F.col("members")[k]
+    log = commits.history(spark, folder).select("version", "action", "release", "active", "superseded", n("parts").alias("n_parts"), n("suppliers").alias("n_suppliers"))
+    blank = F.lit(None).cast("string")
+    counts = commits.active_part(spark, folder, "parts").agg(F.count("*").alias("p")).crossJoin(commits.active_part(spark, folder, "suppliers").agg(F.count("*").alias("s")))  # one row each
+    return log.unionByName(counts.select(F.lit(5).cast("long").alias("version"), F.lit("read").alias("action"), F.lit("r1").alias("release"), blank.alias("active"), blank.alias("superseded"), F.col("p").alias("n_parts"), F.col("s").alias("n_suppliers")))
+
+
 @query("r6_designations", "SELECT CASE WHEN o_orderstatus <> 'O' THEN 'not_a_draft' WHEN o_orderkey % 5 = 0 THEN 'already_research' WHEN o_totalprice < 50000 THEN 'review_missing' WHEN o_custkey % 7 = 0 THEN 'authorisation_missing' ELSE 'designated' END AS state, count(*) AS n FROM orders GROUP BY 1")
 def r6_designations(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "draft").otherwise("published")

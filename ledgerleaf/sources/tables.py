@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; Catalyst prunes its columns and pushes filters into the scan."""
@@ -86,17 +88,16 @@ def projected(rows: DataFrame, required: dict[str, str], optional: dict[str, str
 
 
 def swap_checked(folder: str, new: DataFrame, violations: DataFrame) -> str:
-    """Load ``new`` as a version of its own below ``folder`` and then append to the log of versions; returns its path.
+    """Load ``new`` as a version of its own below ``folder`` and then commit it to the folder's log; returns its path.
 
-    Readers take the last version of the log, so they see the old one or the new one, never a mixture.
+    Readers take the highest entry of the log, so they see the old version or the new one, never a mixture.
     """
     path, spark = f"{folder}/{uuid.uuid4().hex}", new.sparkSession
     load_checked(new, violations, path)
-    spark.createDataFrame([(path,)], "path string").select("path", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/_versions")
+    commits.commit(spark, folder, lambda log: {"action": "swap", "path": path})
     return path
 
 
 def current_version(spark: SparkSession, folder: str) -> DataFrame:
     """The table that the last swap put in place."""
-    log = spark.read.schema("path string, at timestamp").json(f"{folder}/_versions")
-    return spark.read.parquet(log.agg(F.max_by("path", "at")).first()[0])
+    return spark.read.parquet(commits.entries(spark, folder).where("action = 'swap'").agg(F.max_by("path", "version")).first()[0])
