@@ -1,9 +1,9 @@
 """Queries of reading, claims, sinks and the named-operation registry."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import claims, ingestion
+from ledgerleaf.operators import claims, grids, ingestion
 from ledgerleaf.sources import sinks
 
 from .base import query, table
@@ -162,3 +162,16 @@ def u5_set_equality(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", (F.col("x") == F.col("y")).alias("equal"), F.size(F.array_intersect("x", "y")).alias("n_shared"))
 
 
+
+
+@query("i2_column_groups")
+def i2_column_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of columns of each brand's table of parts: two terms side by side, one, or columns that lack units; tests
+    hold the operator against an exhaustive search."""
+    part = table(spark, d, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    code, title, units = F.concat(F.lit("PX "), (F.col("p_partkey") % 1000).cast("string")), F.col("p_name"), (F.col("p_size") % 6 + 1).cast("string")
+    needs = F.when(F.col("p_size") % 3 == 0, "None").otherwise(F.concat(F.lit("PX "), (F.col("p_partkey") % 1000).cast("string"), F.lit(", PX 7")))
+    kind = F.pmod(F.xxhash64("p_brand"), F.lit(4))
+    cells = F.when(kind == 0, F.array(code, title, units, needs)).when(kind == 1, F.array(code, title, units, needs, code, title, units, needs)).when(kind == 2, F.array(F.lit(None).cast("string"), code, title, needs, code, title, needs)).otherwise(F.array(code, title, units, title, units, needs))
+    each = part.select(F.col("p_brand").alias("table_id"), F.col("n").alias("row"), F.posexplode(cells).alias("col", "text"))
+    return grids.column_groups(grids.column_scores(each))
