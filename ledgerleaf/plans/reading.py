@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
-from ledgerleaf.operators import reading
+from ledgerleaf.operators import clauses, reading
 
 from .base import query, table
 
@@ -196,3 +196,16 @@ def x27_json_recordset(spark: SparkSession, d: str) -> DataFrame:
     """A JSON array of objects as rows, in its order; an empty array keeps its parent (J6, X27)."""
     rows = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < F.col("event_id") % 4), lambda i: F.struct((F.col("event_id") + i).alias("id"), F.when(i > 0, F.col("event_type")).alias("kind")))
     return T.records(table(spark, d, "events").select("event_id", F.to_json(rows).alias("body")), "event_id", "body", "id long, kind string")
+
+
+@query("x19_stated_results")
+def x19_stated_results(spark: SparkSession, d: str) -> DataFrame:
+    """What each order's customer says of one part among others, and whether it is a premise; tests hold it against a loop."""
+    pick = lambda salt, *texts: F.get(F.array(*map(F.lit, texts)), F.pmod(F.xxhash64(F.lit(salt), "o_orderkey"), F.lit(len(texts))).cast("int"))
+    verb = lambda salt: pick(salt, "passed", "failed", "did not pass", "took", "hindi ko pa napapasa", "am enrolled in", "never took", "am not sure about", "")
+    head = F.concat(pick(1, "I ", "My friend ", "If I ", "Yes. I "), verb(2), F.lit(" PX "), F.col("o_custkey").cast("string"), pick(3, " and ", ", but I ", ". I ", " tapos "), verb(4), F.lit(" "))
+    text = F.concat("head", F.lit("QQ "), F.col("o_orderkey").cast("string"), pick(5, "", " and passed", ", not yet", " but my friend failed"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").withColumn("head", head)
+    claims = rows.select("o_orderkey", text.alias("text"), F.length("head").alias("course"), F.array(F.locate("PX", "head") - 1).alias("others")).withColumns({"first": F.lit(0), "last": F.length("text")})
+    found = clauses.stated_results(claims)
+    return found.select("o_orderkey", "stated", clauses.inside_if_clause(F.col("text"), F.col("course")).alias("premise"), clauses.enrollment_period(F.col("text")).alias("period"))
