@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import claims, grids, ingestion
+from ledgerleaf.operators import claims, fixes, grids, ingestion
 from ledgerleaf.sources import sinks
 
 from .base import query, table
@@ -175,3 +175,19 @@ def i2_column_groups(spark: SparkSession, d: str) -> DataFrame:
     cells = F.when(kind == 0, F.array(code, title, units, needs)).when(kind == 1, F.array(code, title, units, needs, code, title, units, needs)).when(kind == 2, F.array(F.lit(None).cast("string"), code, title, needs, code, title, needs)).otherwise(F.array(code, title, units, title, units, needs))
     each = part.select(F.col("p_brand").alias("table_id"), F.col("n").alias("row"), F.posexplode(cells).alias("col", "text"))
     return grids.column_groups(grids.column_scores(each))
+
+
+_READ, _KNOWN_CODE = "'PX' || translate(CAST(s_suppkey * 7 AS VARCHAR), '015', 'OIS')", "'PX' || p_partkey"
+_FOLD = f"translate({{}}, '{fixes.CONFUSED}', '{fixes.FOR}')"
+_FIXES = f"""
+WITH a AS (SELECT DISTINCT {_READ} AS text FROM supplier), k AS (SELECT DISTINCT {_KNOWN_CODE} AS proposal FROM part),
+p AS (SELECT text, proposal, CAST(levenshtein(text, proposal) AS INTEGER) AS edits, (levenshtein(text, proposal) + levenshtein({_FOLD.format("text")}, {_FOLD.format("proposal")})) / 2.0 AS cost FROM a, k WHERE levenshtein(text, proposal) <= 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY text ORDER BY cost, edits, proposal) AS INTEGER) AS rank FROM p
+"""
+
+
+@query("i9_fix_proposals", _FIXES)
+def i9_fix_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """All codes of parts within two edits of codes that a scanner has read wrong."""
+    read = table(spark, d, "supplier").select(F.concat(F.lit("PX"), F.translate((F.col("s_suppkey") * 7).cast("string"), "015", "OIS")).alias("text"))
+    return fixes.proposals(read, table(spark, d, "part").select(F.concat(F.lit("PX"), F.col("p_partkey").cast("string")).alias("text")))
