@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import claims, fixes, grids, ingestion
+from ledgerleaf.operators import claims, fixes, grids, ingestion, sections
 from ledgerleaf.sources import sinks
 
 from .base import query, table
@@ -191,3 +191,26 @@ def i9_fix_proposals(spark: SparkSession, d: str) -> DataFrame:
     """All codes of parts within two edits of codes that a scanner has read wrong."""
     read = table(spark, d, "supplier").select(F.concat(F.lit("PX"), F.translate((F.col("s_suppkey") * 7).cast("string"), "015", "OIS")).alias("text"))
     return fixes.proposals(read, table(spark, d, "part").select(F.concat(F.lit("PX"), F.col("p_partkey").cast("string")).alias("text")))
+
+
+_ROWS = """
+WITH RECURSIVE n AS (SELECT p_brand AS table_id, p_name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row FROM part),
+s AS MATERIALIZED (SELECT table_id, row, CASE WHEN p_name ILIKE '%a%' AND row % 11 = 0 THEN 'S' WHEN row % 41 = 3 THEN 'Y' WHEN row % 10 = 9 THEN 'T' WHEN row % 7 = 4 THEN 'X' WHEN row % 23 = 5 THEN 'B' ELSE 'C' END AS x FROM n),
+r AS (SELECT table_id, row, x, CASE x WHEN 'Y' THEN 'year' WHEN 'S' THEN 'open' ELSE 'none' END AS st, CASE x WHEN 'Y' THEN 'year' WHEN 'S' THEN 'section' WHEN 'C' THEN 'stray_course' WHEN 'T' THEN 'stray_total' WHEN 'X' THEN 'text' ELSE 'blank' END AS role FROM s WHERE row = 0
+  UNION ALL SELECT s.table_id, s.row, s.x,
+    CASE s.x WHEN 'Y' THEN 'year' WHEN 'S' THEN 'open' WHEN 'C' THEN CASE WHEN r.st IN ('open', 'course') THEN 'course' ELSE r.st END WHEN 'T' THEN CASE WHEN r.st IN ('open', 'course') THEN 'closed' ELSE r.st END WHEN 'B' THEN CASE r.st WHEN 'course' THEN 'open' ELSE r.st END ELSE r.st END,
+    CASE s.x WHEN 'Y' THEN 'year' WHEN 'S' THEN 'section' WHEN 'C' THEN CASE WHEN r.st IN ('open', 'course') THEN 'course' ELSE 'stray_course' END WHEN 'T' THEN CASE WHEN r.st IN ('open', 'course') THEN 'total' ELSE 'stray_total' END WHEN 'X' THEN CASE r.st WHEN 'course' THEN 'continuation' ELSE 'text' END ELSE 'blank' END
+    FROM r JOIN s ON s.table_id = r.table_id AND s.row = r.row + 1)
+SELECT table_id, CAST(row AS BIGINT) AS row, x AS symbol, role FROM r
+"""
+
+
+@query("i3_row_roles", _ROWS)
+def i3_row_roles(spark: SparkSession, d: str) -> DataFrame:
+    """What each row of each brand's table is: banners, courses and what goes on below them, totals, strays."""
+    part = table(spark, d, "part").withColumn("row", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    banner = F.when(F.col("p_name").ilike("%a%") & (F.col("row") % 11 == 0), "First Semester").when(F.col("row") % 41 == 3, "SECOND YEAR").when(F.col("row") % 10 == 9, "Total 21").when(F.col("row") % 7 == 4, "of the arts, and more").when(F.col("row") % 23 == 5, "")
+    code = F.coalesce(banner, F.concat(F.lit("PX "), (F.col("p_partkey") % 1000).cast("string")))
+    text = F.when(banner.isNull(), F.lit("Some title of it"))
+    cells = part.select(F.col("p_brand").alias("table_id"), "row", F.posexplode(F.array(code, text)).alias("col", "text"))
+    return sections.row_roles(sections.row_symbols(cells))
