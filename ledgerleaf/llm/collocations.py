@@ -1,8 +1,8 @@
 """Phrase collocations per language: exact n-gram counts, and lockstep merges of count streams in prefix and suffix order.
 
 A word is told by a hash of as many bits as leave the whole vocabulary without a collision, which is checked, so no table
-of words is sent to the tasks. Each task sends its distinct pairs and triples of words once; those that come often enough
-make two streams. In prefix order a word is followed by its pairs and a pair by its triples, so that one pass hands down
+of words is sent to the tasks. Each task sends its distinct pairs of words once, then those triples whose words and pairs
+all may come often enough, as filters of a fixed size say; those that do make two streams. In prefix order a word is followed by its pairs and a pair by its triples, so that one pass hands down
 the counts of left parts and hands up the largest extension; in suffix order the same pass does so for right parts.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 #: Words whose n-grams a task holds at once, and bytes of text split at once.
-BUNDLE, CHUNK = 2_000_000, 1 << 20
+BUNDLE, CHUNK = 1_500_000, 1 << 20
 #: Rows of n-grams in a shuffle partition, about.
 PART_ROWS = 2_000_000
 #: What begins (or ends) with one word is dealt to so many tasks.
@@ -32,7 +32,7 @@ SPREAD = 16
 RANK_BUCKETS = 16
 #: Bits of a word's hash beyond twice those of the vocabulary's size: a try has no collision in 97 of 100 cases.
 SPARE_BITS, MOST_BITS = 4, 62
-#: Bits of the filter of frequent words, for each of them; and at most (32 MB to each task, whatever the vocabulary).
+#: Bits of a filter for each frequent word or pair; and at most (32 MB to each task, whatever there is).
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes(0xFF if b in b".,;:!?\n\v\f\r" else b for b in range(256)).lower()
@@ -105,28 +105,44 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[a : a + 100_000], pa.int64())], names=["lang", "word", "f"])
 
 
-def _distinct(row: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The distinct pairs and triples of words inside pieces, as columns of numbers, and their counts."""
-    a, b, c = (row[i : len(row) - 2 + i].astype(np.int64) for i in range(3))
-    mask = (1 << bits) - 1
-    two = (a > 0) & (b > 0)
-    three = two & (c > 0)
-    pairs, counts = np.unique((a << bits | b)[two], return_counts=True)
-    yield pairs >> bits, pairs & mask, None, counts
-    if 3 * bits <= 63:
-        triples, counts = np.unique((a << 2 * bits | b << bits | c)[three], return_counts=True)
-        yield triples >> 2 * bits, triples >> bits & mask, triples & mask, counts
-    else:  # the pair's place among the pairs is shorter
-        triples, counts = np.unique(np.searchsorted(pairs, (a << bits | b)[three]) << bits | c[three], return_counts=True)
-        first = pairs[triples >> bits]
-        yield first >> bits, first & mask, triples & mask, counts
+def _distinct_pairs(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of numbers, in two columns, and how often each comes."""
+    pairs, counts = np.unique(a << bits | b, return_counts=True)
+    return pairs >> bits, pairs & ((1 << bits) - 1), counts
 
 
-def frequent_filter(frequent: DataFrame) -> np.ndarray:
-    """Bits, one of which is set for each frequent word's id. A rare word may share one, which costs rows, never a count:
-    what holds a rare word is rare itself. The fuller the filter, the more rare words go on."""
+def _distinct_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    mask = (1 << bits) - 1
+    if 3 * bits <= 63:
+        triples, counts = np.unique(a << 2 * bits | b << bits | c, return_counts=True)
+        return triples >> 2 * bits, triples >> bits & mask, triples & mask, counts
+    pairs = a << bits | b  # the pair's place among the pairs is shorter
+    known = np.unique(pairs)
+    triples, counts = np.unique(np.searchsorted(known, pairs) << bits | c, return_counts=True)
+    first = known[triples >> bits]
+    return first >> bits, first & mask, triples & mask, counts
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives two longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = h + p5 + np.uint64(8)
+        h ^= turn(x.astype(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def frequent_filter(frequent: DataFrame, key: Column) -> np.ndarray:
+    """Bits, one of which is set for each frequent key. A rare one may share it, which costs rows, never a count: what holds
+    a rare word or pair is rare itself. The fuller the filter, the more rare ones go on."""
     size = min(1 << max(FILTER_BITS * frequent.count(), 1 << 15).bit_length(), MOST_FILTER_BITS)
-    at = F.col("id").bitwiseAND(size - 1) + 1
+    at = key.bitwiseAND(size - 1) + 1
     rows = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros((size >> 15, 1 << 12), np.uint8)  # buckets of 32,768 bits
     for r in rows:
@@ -134,22 +150,33 @@ def frequent_filter(frequent: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _grams(seed: int, width: int, filled: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _grams(seed: int, width: int, words: Broadcast, pairs: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct pairs of words that pass ``words``, or, given ``pairs``, distinct triples whose pairs pass that as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _bundles(batches):
             for lang, own in held.items():
                 head = f"{seed}\t{lang}\t".encode()
                 ids = np.array([0, *(xxhash.xxh64_intdigest(head + w, 42) >> (64 - width) for w in [*own.numbers][1:])], np.int64)
-                bits = filled.value
-                place = ids & (8 * len(bits) - 1)
-                some = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                some = _passes(words.value, ids)
                 some[0] = False
+                bits = max(len(ids) - 1, 1).bit_length()
                 row = np.where(some, np.arange(len(ids)), 0)[own.row()]  # a rare word is a break
-                for w1, w2, w3, counts in _distinct(row, max(len(ids) - 1, 1).bit_length()):
-                    for x in range(0, len(counts), 65_536):
-                        y = slice(x, x + 65_536)
-                        third = pa.nulls(len(counts[y]), pa.int64()) if w3 is None else pa.array(ids[w3[y]])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[w1[y]]), pa.array(ids[w2[y]]), third, pa.array(counts[y])], names=["w1", "w2", "w3", "f"])
+                at = np.flatnonzero((row[:-2] > 0) & (row[1:-1] > 0))
+                if pairs is None:
+                    *columns, counts = _distinct_pairs(row[at], row[at + 1], bits)
+                else:
+                    at = at[_passes(pairs.value, _pair_hash(ids[row[at]], ids[row[at + 1]]))]
+                    at = at[np.isin(at + 1, at, assume_unique=True)]  # the second pair as well
+                    *columns, counts = _distinct_triples(row[at], row[at + 1], row[at + 2], bits)
+                for x in range(0, len(counts), 65_536):
+                    y = slice(x, x + 65_536)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(ids[c[y]]) for c in columns), pa.array(counts[y])], names=[*("w1", "w2", "w3")[: len(columns)], "f"])
 
     return run
 
@@ -246,15 +273,22 @@ def _scored(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def frequent_grams(docs: DataFrame, vocabulary: DataFrame, seed: int, width: int, total: int, least: int) -> DataFrame:
     """(w1, w2, w3, f): words, pairs and triples that come ``least`` times or more; what a shorter one lacks is null."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / PART_ROWS))
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_ROWS))
     frequent = vocabulary.where(F.col("f") >= least)
-    filled = docs.sparkSession.sparkContext.broadcast(frequent_filter(frequent))
-    grams = docs.mapInArrow(_grams(seed, width, filled), "w1 long, w2 long, w3 long, f long")
-    # Dealt by all words of an n-gram, which a task sends once, so none is hot; then sums need no further shuffle.
-    counted = grams.repartition(parts, "w1", "w2", "w3").groupBy("w1", "w2", "w3").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    words = spark.sparkContext.broadcast(frequent_filter(frequent, F.col("id")))
+
+    def counted(grams: DataFrame) -> DataFrame:
+        """Dealt by all words of an n-gram, which a task sends once, so none is hot; then sums need no further shuffle."""
+        keys = grams.columns[:-1]
+        return cut(grams.repartition(parts, *keys).groupBy(*keys).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+
+    two = counted(docs.mapInArrow(_grams(seed, width, words), "w1 long, w2 long, f long"))
+    pairs = spark.sparkContext.broadcast(frequent_filter(two, F.xxhash64("w1", "w2")))
+    three = counted(docs.mapInArrow(_grams(seed, width, words, pairs), "w1 long, w2 long, w3 long, f long"))
     none = F.lit(None).cast("long")
-    words = frequent.select(F.col("id").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
-    return cut(counted.unionByName(words))
+    one = frequent.select(F.col("id").alias("w1"), none.alias("w2"), none.alias("w3"), "f")
+    return one.unionByName(two.select("w1", "w2", none.alias("w3"), "f")).unionByName(three)
 
 
 def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int = 2000) -> DataFrame:

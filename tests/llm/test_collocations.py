@@ -79,6 +79,21 @@ def test_lockstep_at_every_cut():
 
 
 def test_wide_vocabularies_are_packed_otherwise():
-    row = np.array([1, 2, 3, 1, 2, 3, 0, 1, 2, 0, 0, 0])
-    narrow, wide = ([[None if c is None else c.tolist() for c in part] for part in co._distinct(row, bits)] for bits in (4, 24))
-    assert narrow == wide
+    rng = np.random.default_rng(4)
+    a, b, c = rng.integers(1, 5, (3, 200))
+    narrow, wide = ([x.tolist() for x in co._distinct_triples(a, b, c, bits)] for bits in (4, 24))
+    assert narrow == wide and sum(narrow[3]) == 200
+    assert dict(zip(zip(*narrow[:3]), narrow[3])) == Counter(zip(a.tolist(), b.tolist(), c.tolist()))
+
+
+def test_pairs_hash_as_in_spark(spark):
+    rows = [(0, 0), (1, 2), (2**61, 5), (7, 2**40 + 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
+    a, b = (np.array(x, np.int64) for x in zip(*rows))
+    assert co._pair_hash(a, b).tolist() == got
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    data = [(i, t, la, s, 0, "c", 1, "c", "c") for i, t, la, s, *_ in [*rows(), *MORE, *MORE]]
+    monkeypatch.setattr(co, "frequent_filter", lambda frequent, key: np.full(1 << 12, 255, np.uint8))
+    assert _own(spark, data, least=2) == _brute(data, 2)
