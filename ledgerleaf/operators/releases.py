@@ -130,12 +130,13 @@ def unbound(traces: DataFrame, runs: DataFrame, key: str, fields: list[str]) ->
 def near_leaks(items: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(item_id, doc_id, similarity): items whose set of tokens is that similar (Jaccard) to a text's.
 
-    Both have tokens. Sets are one class each before the join, so copies take no comparisons.
+    Both have tokens. Sets are one class each before the join, so copies take no comparisons; only items meet texts.
     """
     rows = items.select(F.concat(F.lit("i"), F.col("item_id")).alias("id"), "tokens").union(texts.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "tokens"))
     rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where("size(tokens) > 0")
     classes = cut(rows.groupBy("tokens").agg(F.min("id").alias("class_id"), F.max(F.startswith("id", F.lit("i"))).alias("item"), F.max(F.startswith("id", F.lit("d"))).alias("text")))
-    pairs = similarity.jaccard_pairs(classes.select("class_id", "tokens"), threshold)
+    bits = F.col("item").cast("int") + 2 * F.col("text").cast("int")
+    pairs = similarity.jaccard_pairs(classes.select("class_id", "tokens", bits.alias("sides")), threshold, "sides")
     own = classes.where("item AND text").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
     both = cut(pairs.union(pairs.select("b", "a", "similarity")).union(own))
     member = cut(rows.join(classes, "tokens").select("id", "class_id"))
