@@ -88,7 +88,8 @@ def grade_rows(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     starts = words.select("line_id", "line", "at", "w")
     keyed = aliases.select("id", F.lower("alias").alias("alias"), F.element_at(F.split(F.lower("alias"), " "), 1).alias("first"))
     near = starts.join(keyed, F.col("w") == F.col("first"))
-    rest = F.array_join(F.slice(F.split(F.lower("line"), " "), F.col("at") + 1, F.lit(1 << 20)), " ")
+    words = F.split(F.lower("line"), " ")
+    rest = F.array_join(F.slice(words, F.col("at") + 1, F.size(words)), " ")
     held = near.withColumn("rest", rest).where(F.expr("rest = alias OR startswith(rest, concat(alias, ' '))"))
     best = top_rows(held, ["line_id"], [F.desc(F.length("alias")), F.col("at"), F.col("id")]).drop("_rank")
     after = F.expr("substring(rest, length(alias) + 1)")

@@ -188,6 +188,28 @@ def t1_session_stream(spark: SparkSession, d: str) -> DataFrame:
     return state.run_once(state.session_stream(events, 1800), _stream_folder(spark), "complete").select("key", "n")
 
 
+_CLOSED = """
+WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id AS key, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 1800 SECOND <= (SELECT max(ts) - INTERVAL 600 SECOND FROM events)
+"""
+
+
+@query("t1_closed_sessions", _CLOSED)
+def t1_closed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark has passed, each put out once and its state dropped (append mode)."""
+    events = state.stream_of(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), "ts")
+    return state.run_once(state.session_stream(events, 1800), _stream_folder(spark)).select("key", "n")
+
+
+@query("t6_turn_stream", "SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL")
+def t6_turn_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The first of each kind of a user's messages from a stream that refuses repeated ones."""
+    events = state.stream_of(spark, f"{d}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    kept = state.run_once(state.distinct_turns(events, ["user_id", "event_type"], "1000 days"), _stream_folder(spark))
+    return kept.select("user_id", "event_type", F.lit(True).alias("seen"))
+
+
 @query("t2_rate_limit_stream", _LIMIT)
 def t2_rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same admissions from a stateful stream."""
