@@ -62,6 +62,47 @@ class _Limiter:
         return iter(())
 
 
+class Pool:
+    """Answers that run or wait in one pool: their release times and accounts, at most ``running + waiting`` of them."""
+
+    def __init__(self, running: int, waiting: int, held: list[tuple[int, Any]] | None = None):
+        self.running, self.waiting, self.held = running, waiting, held or []
+
+    def offer(self, at: int, account: Any, takes: int) -> tuple[str, int | None]:
+        """What becomes of a request at a time, and how long it waits for a slot; slots go in the order of admission."""
+        self.held = [h for h in self.held if h[0] > at]
+        if account is not None and any(a == account for _, a in self.held):
+            return "account_busy", None
+        if len(self.held) >= self.running + self.waiting:
+            return "answers_busy", None
+        ahead = len(self.held) - self.running
+        start = sorted(r for r, _ in self.held)[ahead] if ahead >= 0 else at
+        self.held.append((start + takes, account))
+        return ("admitted" if start == at else "waiting"), start - at
+
+
+class _Admission:
+    def __init__(self, key: tuple, running: int, waiting: int):
+        self.key, self.pool = key[0], Pool(running, waiting)
+
+    def step(self, row: Any) -> Iterator[tuple]:
+        yield self.key, row.request, *self.pool.offer(row.at, None if pd.isna(row.account) else row.account, row.takes)
+
+    def finish(self) -> Iterator[tuple]:
+        return iter(())
+
+
+def admissions(requests: DataFrame, running: int, waiting: int) -> DataFrame:
+    """(pool, request, state, wait_us) of requests (pool, request, account, ts, takes_s): each pool runs so many at once, so
+    many more wait, and an account has one at a time; a null account is nobody's.
+
+    States: admitted, waiting (for wait_us), account_busy and answers_busy. A request is released when it has run; one that
+    ends just when another comes is gone. Equal times go by request. A pool is read in order as a stream.
+    """
+    rows = requests.select("pool", "request", "account", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("takes_s") * 1_000_000).cast("long").alias("takes"))
+    return ordered_fold(rows, ["pool"], ["at", "request"], lambda key: _Admission(key, running, waiting), "pool long, request long, state string, wait_us long")
+
+
 def rate_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     """(person, event_id, admitted, wait_s) of events (person, event_id, ts): at most ``limit`` admitted ones in a window.
 

@@ -210,6 +210,37 @@ def t6_turn_stream(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
+#: Answers that a pool runs and lets wait, and how many pools there are.
+RUNNING, WAITING, POOLS = 2, 2, 5
+_ADMIT = f"""WITH RECURSIVE e AS (SELECT event_id % {POOLS} AS pool, event_id AS request, user_id AS account, epoch_us(ts) AS t, (event_id % 7 + 1) * 3600000000 AS takes, row_number() OVER (PARTITION BY event_id % {POOLS} ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT DISTINCT pool, 0::BIGINT AS rn, []::STRUCT(r BIGINT, a BIGINT)[] AS held, NULL::BIGINT AS request, NULL::VARCHAR AS state, NULL::BIGINT AS wait_us FROM e
+  UNION ALL
+  SELECT pool, rn, CASE WHEN state IN ('admitted', 'waiting') THEN list_append(held, {{'r': t + wait_us + takes, 'a': account}}) ELSE held END, request, state, wait_us
+  FROM (SELECT pool, rn, request, account, t, takes, held, CASE WHEN no IS NOT NULL THEN NULL WHEN len(held) < {RUNNING} THEN 0 ELSE list_sort(list_transform(held, lambda h: h.r))[len(held) - {RUNNING} + 1] - t END AS wait_us,
+      coalesce(no, CASE WHEN len(held) < {RUNNING} THEN 'admitted' ELSE 'waiting' END) AS state
+    FROM (SELECT *, CASE WHEN list_contains(list_transform(held, lambda h: h.a), account) THEN 'account_busy' WHEN len(held) >= {RUNNING + WAITING} THEN 'answers_busy' END AS no
+      FROM (SELECT e.pool, e.rn, e.request, e.account, e.t, e.takes, list_filter(r.held, lambda h: (h.r > e.t)) AS held FROM r JOIN e ON e.pool = r.pool AND e.rn = r.rn + 1)))
+)
+SELECT pool, request, state, wait_us FROM r WHERE rn > 0"""
+
+
+def _asked(events: DataFrame) -> DataFrame:
+    return events.select((F.col("event_id") % POOLS).alias("pool"), F.col("event_id").alias("request"), F.col("user_id").alias("account"), "ts", ((F.col("event_id") % 7 + 1) * 3600).alias("takes_s"))
+
+
+@query("t3_admissions", _ADMIT)
+def t3_admissions(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of five pools: two answers run at once, two more wait, and each account has one at a time."""
+    return folds.admissions(_asked(table(spark, d, "events")), RUNNING, WAITING)
+
+
+@query("t3_admission_stream", _ADMIT)
+def t3_admission_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stateful stream."""
+    return state.run_once(state.admission_stream(_asked(state.stream_of(spark, f"{d}/events.parquet")), RUNNING, WAITING), _stream_folder(spark)).select("pool", "request", "state", "wait_us")
+
+
 @query("t2_rate_limit_stream", _LIMIT)
 def t2_rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same admissions from a stateful stream."""

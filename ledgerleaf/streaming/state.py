@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerleaf.operators.folds import Pool
+
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A file stream over Parquet, a folder or one file, with the schema that its files have."""
@@ -58,6 +60,31 @@ def rate_limit_stream(events: DataFrame, limit: int, window_s: int, lateness: st
     return timed.groupBy("person").applyInPandasWithState(step, "person long, event_id long, admitted boolean, wait_s long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def admission_stream(requests: DataFrame, running: int, waiting: int, lateness: str = "10 minutes") -> DataFrame:
+    """As ``folds.admissions``, of a stream of requests, each batch in the order of its times.
+
+    A pool's state is what runs or waits, ``running + waiting`` at most, and a timer drops it once the watermark has passed
+    the last release. Requests later than ``lateness`` are dropped.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "request"])
+        releases, accounts = state.get if state.exists else ([], [])
+        pool, out = Pool(running, waiting, list(zip(releases, accounts, strict=True))), []
+        for r in rows.itertuples():
+            out.append((key[0], r.request, *pool.offer(int(r.at), None if pd.isna(r.account) else int(r.account), int(r.takes))))
+        state.update(([r for r, _ in pool.held], [a for _, a in pool.held]))
+        last = max([r for r, _ in pool.held], default=int(rows["at"].max()))
+        state.setTimeoutTimestamp(int(max(last // 1000, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame(out, columns=["pool", "request", "state", "wait_us"]).astype({"wait_us": "Int64"})
+
+    timed = requests.select("pool", "request", "account", F.col("ts").cast("timestamp").alias("ts"), (F.col("takes_s") * 1_000_000).cast("long").alias("takes")).withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("pool").applyInPandasWithState(step, "pool long, request long, state string, wait_us long", "releases array<long>, accounts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Drain what a stream has now into Parquet below ``folder``, with its checkpoint beside it, and read the result.
 
