@@ -120,17 +120,23 @@ def attached(items: DataFrame, regions: DataFrame, tolerance: float) -> DataFram
     """(item, region): the region of the same page that holds an item's centre, else the only nearest one that ends at
     most ``tolerance`` above it and overlaps it sideways; null where there is none, or a tie.
 
-    Boxes are left, top, right and bottom with the origin at the top.
+    Boxes are left, top, right and bottom with the origin at the top. Equal boxes of a page are one before any are
+    compared, so copies take no pairs.
     """
+    box = ["page", "left", "right", "top", "bottom"]
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    own = items.select("page", "item", "left", "right", x.alias("x"), y.alias("y"))
-    of = regions.select(F.col("page").alias("r_page"), "region", *(F.col(c).alias(f"r_{c}") for c in ("left", "top", "right", "bottom")))
+    own = items.select(*box).distinct().select(*box, x.alias("x"), y.alias("y"))
+    of = regions.groupBy(*(F.col(c).alias(f"r_{c}") for c in box)).agg(F.count("*").alias("r_n"), F.min("region").alias("r_region"))
     pairs = own.join(of, (F.col("page") == F.col("r_page")) & (F.col("r_left") <= F.greatest("x", "right")) & (F.col("r_right") >= F.least("x", "left")) & (F.col("r_top") <= F.col("y")) & (F.col("r_bottom") >= F.col("y") - tolerance))
     inside = F.col("x").between(F.col("r_left"), F.col("r_right")) & F.col("y").between(F.col("r_top"), F.col("r_bottom"))
     far = F.when(inside, F.lit(-1.0)).when(F.col("r_bottom") <= F.col("y"), F.col("y") - F.col("r_bottom"))
-    near = pairs.withColumn("far", far).where("far IS NOT NULL").groupBy("page", "item").agg(F.min("far").alias("least"), F.collect_list(F.struct("far", "region")).alias("all"))
-    best = near.select("page", "item", F.filter("all", lambda a: a.far == F.col("least")).alias("best"))
-    return items.select("page", "item").join(best, ["page", "item"], "left").select("item", F.when(F.size("best") == 1, F.element_at("best", 1).region).alias("region"))
+    near = pairs.withColumn("far", far).where("far IS NOT NULL").groupBy(*box, "far").agg(F.sum("r_n").alias("n"), F.min("r_region").alias("region"))
+    best = near.groupBy(*box).agg(F.min(F.struct("far", "n", "region")).alias("best")).select(*box, "best.*")
+    # An item may have several boxes on a page.
+    told, own = items.select(*box, "item").join(best, box, "left"), Window.partitionBy("page", "item")
+    told = told.withColumn("least", F.col("far") == F.min("far").over(own))
+    told = told.withColumns({"all": F.sum(F.when(F.col("least"), F.col("n"))).over(own), "one": F.min(F.when(F.col("least"), F.col("region"))).over(own)})
+    return told.select("item", F.when(F.col("all") == 1, F.col("one")).alias("region"))
 
 
 def plan_terms(plans: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import text
 from ledgerleaf.operators import capabilities, ingestion, reading, releases
 
 
@@ -70,3 +71,19 @@ def test_near_leaks(spark):
 def test_call_states(spark):
     calls = spark.createDataFrame([("f", {"a": "1"}), ("f", {"a": ""}), ("f", {"a": "1", "b": "2"}), ("g", {})], "operation string, arguments map<string,string>")
     assert [r.state for r in capabilities.call_states(calls, {"f": ("a",)}).collect()] == ["ok", "missing_argument", "unknown_argument", "unsupported"]
+
+
+def test_attached_copies_and_items_of_two_boxes(spark):
+    """Regions alike are a tie, an item of two boxes goes by the nearer one."""
+    boxes = "page long, {} long, left double, right double, top double, bottom double"
+    items = spark.createDataFrame([(1, 1, 4.0, 6.0, 4.0, 6.0), (1, 2, 4.0, 6.0, 14.0, 16.0), (1, 2, 24.0, 26.0, 4.0, 6.0)] + [(1, i, 24.0, 26.0, 4.0, 6.0) for i in range(3, 40)], boxes.format("item"))
+    regions = spark.createDataFrame([(1, 10, 0.0, 10.0, 0.0, 10.0), (1, 11, 0.0, 10.0, 0.0, 10.0), (1, 12, 20.0, 30.0, 0.0, 10.0)], boxes.format("region"))
+    found = reading.attached(items, regions, 12.0)
+    assert sorted({(r["item"], r.region) for r in found.collect()}) == [(1, None)] + [(i, 12) for i in range(2, 40)] and found.count() == items.count()
+    assert reading.attached(items, regions.limit(0), 12.0).where("region IS NULL").count() == items.count()
+
+
+def test_term_words(spark):
+    """Borders are those of ASCII, as in DuckDB; a null text has no words."""
+    assert one(spark, text.term_words(F.col("t")), t="Not énot notñ no_t; NEVER, knot") == ["not", "not", "not", "never"]
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(text.term_words(F.col("t"))).first()[0] is None
