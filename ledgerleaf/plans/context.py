@@ -110,8 +110,9 @@ def c10_narrowed_chunks(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("subject"), (F.col("p_partkey") % 7).alias("claim"), F.col("p_partkey").alias("chunk_id"))
     claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 50).alias("subject"), (F.col("o_orderkey") % 7).alias("claim"))
     needs = part.select(F.col("chunk_id").alias("src"), (2 * F.col("chunk_id") + 1).alias("dst")).join(part.select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
-    found = context.narrowed(claims, part.where("claim <> 6"), needs, part.select("subject", "chunk_id"))
-    return found.groupBy("request").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("total"))
+    own, chunks = context.narrowed_classes(claims, part.where("claim <> 6"), needs, part.select("subject", "chunk_id"))
+    sums = chunks.groupBy("class_id").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("total"))
+    return own.join(sums, "class_id").select("request", "n", "total")
 
 
 _FLAT = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"

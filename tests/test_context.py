@@ -54,3 +54,12 @@ def test_narrowed_chunks(spark):
     members = spark.createDataFrame([(10, i) for i in (1, 2, 5)], "subject long, chunk_id long")
     got = sorted(tuple(r) for r in context.narrowed(claims, fields, needs, members).collect())
     assert got == [(1, 5), (1, 6), (1, 7), (2, 1), (2, 2), (2, 5)]
+
+
+def test_requests_of_the_same_claims_are_narrowed_once(spark):
+    claims = spark.createDataFrame([(i, 10, "a") for i in range(50)] + [(99, 10, "a"), (99, 11, "b")], "request long, subject long, claim string")
+    fields = spark.createDataFrame([(10, "a", 5), (11, "b", 8)], "subject long, claim string, chunk_id long")
+    needs = spark.createDataFrame([(5, 6)], "src long, dst long")
+    own, chunks = context.narrowed_classes(claims, fields, needs, fields.select("subject", "chunk_id"))
+    assert {r.request: r.class_id for r in own.collect()} == {**{i: 0 for i in range(50)}, 99: 99}
+    assert sorted(tuple(r) for r in chunks.collect()) == [(0, 5), (0, 6), (99, 5), (99, 6), (99, 8)]
