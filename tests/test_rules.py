@@ -82,3 +82,16 @@ def test_closure_and_cycles(spark):
     roots = spark.createDataFrame([(0,), (7,)], "root long")
     assert {tuple(r) for r in graphs.bounded_closure(frame, roots).collect()} == {(a, b) for a, b in want if a in (0, 7) and a != b}
     assert graphs.closure(frame.limit(0)).count() == 0
+
+
+def test_many_leaves_and_subjects_of_one_case(spark):
+    """More leaves than one word of bits holds; a null subject has no verdict; each case is evaluated once."""
+    tree = [(1, 0, None, 0, 0, "all_of", None)] + [(1, i, 0, i, 1, "course", i) for i in range(1, 46)]
+    facts = [(s, c, True, False, False) for s in (1, 2) for c in range(1, 46)] + [(3, c, c != 44, c == 44, False) for c in range(1, 46)]
+    asked = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (None, 1)], "subject_id long, owner_id long")
+    got = {r.subject_id: r for r in rules.evaluate(asked, spark.createDataFrame(tree, NODES), spark.createDataFrame(facts, FACTS), 1).collect()}
+    assert {s: (r.outcome, r.coverage) for s, r in got.items()} == {1: ("eligible", "complete"), 2: ("eligible", "complete"), 3: ("ineligible", "complete"), 4: ("unknown", "complete"), None: ("unknown", "absent")}
+    assert got[3].violated == ["not_completed:44"] and len(got[3].satisfied) == 44 and len(got[4].unknown) == 45
+    leaves = spark.createDataFrame([(1, i - 1, i) for i in range(1, 46)], "owner_id long, at int, ref_id long")
+    words = rules.fact_words(asked, leaves, spark.createDataFrame(facts, FACTS), 3).where("subject_id < 3").select("w0", "w1", "w2").distinct().collect()
+    assert len(words) == 1 and words[0].w0 == sum(1 << 3 * i for i in range(20))
