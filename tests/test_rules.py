@@ -84,6 +84,26 @@ def test_closure_and_cycles(spark):
     assert graphs.closure(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_and_sets_without_the_closure(spark, seed):
+    """Rings that feed one another, loops, ends and a part without cycles; sets of more nodes than one array holds."""
+    rng = random.Random(seed)
+    edges = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(50)} | {(i, 100 + (i - 99) % 8) for i in range(100, 108)} | {(7, 100), (107, 200), (200, 201), (201, 201), (201, 202), (300, 301), (301, 302)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    ring = {a: len({b for x, b in want if x == a and (b, a) in want}) for a, _ in want if any((b, a) in want for x, b in want if x == a)}
+    frame = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {r.node: r.members for r in graphs.cycles(frame).collect()} == ring
+    graphs.CHUNK, whole = 3, graphs.CHUNK
+    try:
+        sets = graphs.reached_sets(frame).collect()
+    finally:
+        graphs.CHUNK = whole
+    pairs = [(r.src, d) for r in sets for d in r.reached]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and max(len(r.reached) for r in sets) == 3
+
+
 def test_many_leaves_and_subjects_of_one_case(spark):
     """More leaves than one word of bits holds; a null subject has no verdict; each case is evaluated once."""
     tree = [(1, 0, None, 0, 0, "all_of", None)] + [(1, i, 0, i, 1, "course", i) for i in range(1, 46)]
