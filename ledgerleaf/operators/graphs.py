@@ -36,13 +36,14 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def bounded_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): what each root reaches, itself left out; frontier by frontier, for few roots in a large graph.
 
-    A root never takes a node twice, so cycles end, however long a chain is.
+    A root never takes a node twice, so cycles end, however long a chain is. No side is broadcast, which would send it
+    to the driver in each round.
     """
     frontier = cut(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
     levels = [frontier]
     while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.union, levels).select(F.col("root").alias("r"), F.col("node").alias("n"))
+        step = frontier.join(edges.hint("merge"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        known = reduce(DataFrame.union, levels).select(F.col("root").alias("r"), F.col("node").alias("n")).hint("merge")
         frontier = cut(step.join(known, (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti"))
         levels.append(frontier)
         if len(levels) == LEVELS:  # long chains would else be a plan of as many parts
