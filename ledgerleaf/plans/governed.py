@@ -123,7 +123,7 @@ def c1_context_packing(spark: SparkSession, d: str) -> DataFrame:
     """The eight nearest chunks of each query, each with its two successors, admitted whole under a budget of 900 tokens."""
     rows = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    hits = cut(retrieval.top_k(retrieval.scored_pairs(queries, rows.withColumnRenamed("vec_id", "chunk_id")), 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
+    hits = cut(retrieval.top_k(retrieval.best_pairs(queries, rows.withColumnRenamed("vec_id", "chunk_id"), 8), 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
     sizes = rows.select(F.col("vec_id").alias("member"), (F.col("vec_id") % 200 + 50).alias("n_tokens"))
     each = hits.withColumn("member", F.explode(F.array("chunk_id", F.col("chunk_id") + 1, F.col("chunk_id") + 2))).join(sizes, "member", "left")
     members = F.array_sort(F.collect_list(F.struct(F.col("member").alias("chunk_id"), "n_tokens")))
