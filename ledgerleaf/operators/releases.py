@@ -188,8 +188,10 @@ def stale(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
 def hashed_vector(text: Column, dimension: int) -> Column:
     """A unit vector that stands in for a text's embedding: each component from a SHA-256 of the text and its place."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(F.sha2(F.concat_ws(":", text, i.cast("string")), 256), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    # A lambda's variable is worked out once: the digests once a row, and the norm once, not for each component.
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(raw, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def repair_faults(repairs: DataFrame, cells: DataFrame) -> DataFrame:
