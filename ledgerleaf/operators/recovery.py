@@ -3,6 +3,8 @@
 A request's delayed courses, few by nature, are one array with their conditions in alternatives; each condition on a course
 that isn't delayed is already a time. A draft then is a fold over the calendar in expressions of the engine: in each term
 the courses that may enter are admitted by priority while there is room. Drafts are rows, one for each variant.
+
+Requests that differ in the names of courses alone are one class, drafted and checked once.
 """
 
 from __future__ import annotations
@@ -178,14 +180,75 @@ def recovery_drafts(requests: DataFrame, facts: DataFrame, curriculum: DataFrame
     (``course`` is one that the plan check blocks). ``place`` orders a request's drafts: D, then fewest requests, then the
     earliest end, or, where the fastest is asked for, the earliest rejoin, then fewest requests. A request whose failed
     course isn't in its curriculum, or has no term after it, has no rows. Delayed courses of one request are one array.
+
+    Curricula are alike if they agree but for the names of courses, and requests are if they agree in that, in the place of
+    the failed course, in the start, and in what is known of the places. One request of each class is drafted and checked,
+    and the others have its rows with their own courses. So drafts are as many as classes, at most as many as requests.
+    """
+    shapes = stored(_shapes(curriculum, nodes))
+    known = facts.groupBy("request", "course").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("passed", "failed")))
+    refs = nodes.where("ref_id IS NOT NULL").select(F.col("owner_id").alias("course"), F.col("ref_id").cast("long").alias("ref"))
+    domain = curriculum.select("curriculum", "course").unionByName(curriculum.select("curriculum", "course").join(refs, "course").select("curriculum", F.col("ref").alias("course"))).distinct()
+    known = stored(known.join(requests.select("request", "curriculum"), "request").join(domain, ["curriculum", "course"], "left_semi").select("request", "curriculum", "course", "passed", "failed"))
+    place = F.array_position("courses", F.col("course"))
+    fact = F.struct(place.alias("at"), F.when(place == 0, F.col("course")).alias("course"), "passed", "failed")
+    of = known.join(shapes.select("curriculum", "courses"), "curriculum").groupBy("request").agg(F.array_sort(F.collect_list(fact)).alias("known"))
+    at = F.array_position("courses", F.col("failed_course"))
+    due = F.get("dues", (at - 1).cast("int"))
+    start = F.when(F.col("stated") > due, F.col("stated")).otherwise(due + 1)
+    alike = F.struct("shape", at.alias("at"), start.alias("start"), "fastest", "known")
+    keyed = requests.join(shapes, "curriculum").where(at > 0).join(of, "request", "left")
+    keyed = stored(keyed.select("request", "curriculum", "failed_course", "stated", "fastest", F.sha2(F.to_json(alike), 256).alias("class")))
+    first = stored(keyed.groupBy("class").agg(F.min_by(F.struct("request", "curriculum", "failed_course", "stated", "fastest"), "request").alias("first"))).select("class", "first.*")
+    # Rules of curricula that no class is drafted in, and that no other reaches, are left out.
+    used = curriculum.join(shapes.where("NOT closed").select("curriculum").unionByName(first.select("curriculum")).distinct(), "curriculum", "left_semi")
+    idle = curriculum.select("course").distinct().join(used.select("course").distinct(), "course", "left_anti")
+    theirs = nodes.join(idle.withColumnRenamed("course", "owner_id"), "owner_id", "left_anti")
+    drafts = _class_drafts(first.drop("class"), known.join(first.select("request"), "request", "left_semi"), used, theirs, depth, summer_units)
+    named = first.select("class", "request", F.col("curriculum").alias("from")).join(shapes.select(F.col("curriculum").alias("from"), F.col("courses").alias("theirs")), "from")
+    rows = stored(drafts.join(named, "request").drop("request"))
+    own = keyed.select("request", "curriculum", "class").join(shapes.select("curriculum", "courses"), "curriculum")
+    to = lambda c: F.when(F.col("from") == F.col("curriculum"), c).otherwise(F.get("courses", (F.array_position("theirs", c) - 1).cast("int")))
+    out = own.join(rows, "class").withColumns({"course": to(F.col("course")), "moved": F.transform("moved", lambda m: F.struct(m.term.alias("term"), to(m.course).alias("course"), m["mode"].alias("mode")))})
+    text = F.array_join(F.transform("moved", lambda m: F.concat_ws(":", m.term.cast("string"), m.course.cast("string"), m["mode"])), " ")
+    return out.select("request", "variant", "state", "same_as", "course", "place", "n_requests", "rejoin", "beyond", text.alias("moved"), F.sha2(F.to_json("moved"), 256).alias("digest"))
+
+
+def _shapes(curriculum: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(curriculum, courses, dues, closed, shape): its courses in order, and a digest of all else that matters of it.
+
+    A curriculum is closed if its rules name its own courses alone, and no other rules name them; one that isn't has a
+    shape of its own.
     """
+    at = curriculum.select("curriculum", F.col("course").cast("long").alias("course"), "due", "units", "ord")
+    tree = nodes.select("owner_id", "node_id", "parent_id", "ordinal", "depth", "kind", F.col("ref_id").cast("long").alias("ref_id"))
+    trees = tree.groupBy(F.col("owner_id").cast("long").alias("course")).agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id", "ordinal", "depth", "kind", "ref_id"))).alias("tree"))
+    entry = F.struct("ord", "course", "due", "units", "tree")
+    each = at.join(trees, "course", "left").groupBy("curriculum").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    each = each.withColumns({"courses": F.col("all.course"), "by_name": F.array_sort("all.course")})
+    named = F.transform("all", lambda c: F.struct(
+        F.array_position("by_name", c.course).alias("by_name"), c.due.alias("due"), c.units.alias("units"),
+        F.transform(c.tree, lambda n: F.struct(n.node_id.alias("node_id"), n.parent_id.alias("parent_id"), n.ordinal.alias("ordinal"), n.depth.alias("depth"), n.kind.alias("kind"), F.array_position("courses", n.ref_id).alias("ref"))).alias("tree"),
+    ))
+    inside = F.forall("all", lambda c: F.coalesce(F.forall(c.tree, lambda n: n.ref_id.isNull() | F.array_contains("courses", n.ref_id)), F.lit(True)))
+    users = tree.where("ref_id IS NOT NULL").select(F.col("owner_id").cast("long").alias("course"), F.col("ref_id").alias("of")).join(at.select("curriculum", F.col("course").alias("of")), "of")
+    open_ones = users.join(at.select("curriculum", "course"), ["curriculum", "course"], "left_anti").select("curriculum").distinct().withColumn("used", F.lit(True))
+    closed = inside & F.col("used").isNull() & (F.size("courses") == F.size(F.array_distinct("courses")))
+    shape = F.when(F.col("closed"), F.sha2(F.to_json("named"), 256)).otherwise(F.concat(F.lit("own:"), F.col("curriculum").cast("string")))
+    told = each.join(open_ones, "curriculum", "left").withColumns({"named": named, "closed": closed})
+    return told.select("curriculum", "courses", F.col("all.due").alias("dues"), "closed", shape.alias("shape"))
+
+
+def _class_drafts(requests: DataFrame, facts: DataFrame, curriculum: DataFrame, nodes: DataFrame, depth: int, summer_units: float | None) -> DataFrame:
+    """The rows of ``recovery_drafts`` without a digest and with ``moved`` as an array, each request by itself."""
     base, rows = delayed_courses(requests, facts, curriculum, nodes, depth)
     each = base.join(requests.select("request", "fastest"), "request").withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS))))
     each = each.withColumn("summer_units", F.lit(summer_units).cast("double"))
     r = {c: F.col(c) for c in ("delayed", "kept_units", "summer_units", "last_due", "start", "paired")}
     st = F.when(F.col("variant").isin("A", "B") | F.col("summer_units").isNotNull(), _best(r, F.col("variant")))
     # Dealt anew, so that drafts of all requests are made by all tasks.
-    drawn = stored(each.repartition("request", "variant").withColumn("st", st))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = stored(each.repartition(n, "request", "variant").withColumn("st", st))
     st = F.col("st")
     missing = F.array_position(st.slots, NEVER)
     asked = F.size(_requests_of(st, F.col("delayed")))
@@ -219,8 +282,7 @@ def recovery_drafts(requests: DataFrame, facts: DataFrame, curriculum: DataFrame
     key = F.when(F.col("fastest"), F.struct(F.col("rejoin").alias("x"), F.col("n_requests").alias("y"), F.lit(0).alias("z"), F.col("at").cast("int").alias("w"))).otherwise(F.struct((F.col("variant") != "D").cast("int").alias("x"), F.col("n_requests").alias("y"), F.col("end").alias("z"), F.col("at").cast("int").alias("w")))
     places = out.where(is_draft).groupBy("request").agg(F.array_sort(F.collect_list(key)).alias("order"))  # four at most
     out = out.join(places, "request", "left")
-    text = F.array_join(F.transform("moved", lambda m: F.concat_ws(":", m.term.cast("string"), m.course.cast("string"), m.mode)), " ")
     return out.select(
         "request", "variant", "state", "same_as", "course", F.when(is_draft, F.array_position("order", key)).cast("int").alias("place"), "n_requests", "rejoin",
-        (F.col("end") > F.col("last_due")).alias("beyond"), text.alias("moved"), "digest",
+        (F.col("end") > F.col("last_due")).alias("beyond"), "moved",
     )
