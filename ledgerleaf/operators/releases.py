@@ -133,13 +133,13 @@ def near_leaks(items: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     Both have tokens. Sets are one class each before the join, so copies take no comparisons; only items meet texts.
     """
     rows = items.select(F.concat(F.lit("i"), F.col("item_id")).alias("id"), "tokens").union(texts.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "tokens"))
-    rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where("size(tokens) > 0")
-    classes = cut(rows.groupBy("tokens").agg(F.min("id").alias("class_id"), F.max(F.startswith("id", F.lit("i"))).alias("item"), F.max(F.startswith("id", F.lit("d"))).alias("text")))
-    bits = F.col("item").cast("int") + 2 * F.col("text").cast("int")
-    pairs = similarity.jaccard_pairs(classes.select("class_id", "tokens", bits.alias("sides")), threshold, "sides")
+    rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where("size(tokens) > 0").withColumn("digest", F.sha2(F.to_json("tokens"), 256))
+    # Sets go by digest, so that they are shuffled once, and not with each row.
+    classes = cut(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("tokens").alias("tokens"), F.max(F.startswith("id", F.lit("i"))).alias("item"), F.max(F.startswith("id", F.lit("d"))).alias("text")))
+    pairs = similarity.jaccard_across(classes.where("item"), classes.where("text"), threshold)
     own = classes.where("item AND text").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
-    both = cut(pairs.union(pairs.select("b", "a", "similarity")).union(own))
-    member = cut(rows.join(classes, "tokens").select("id", "class_id"))
+    both = cut(pairs.union(own))
+    member = cut(rows.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id"))
     number = F.expr("CAST(substring(id, 2) AS BIGINT)")
     left = member.where("id LIKE 'i%'").select(F.col("class_id").alias("a"), number.alias("item_id"))
     right = member.where("id LIKE 'd%'").select(F.col("class_id").alias("b"), number.alias("doc_id"))
