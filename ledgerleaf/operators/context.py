@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.sets import any_of, within
 
-from .common import cut, top_rows
-from .graphs import bounded_closure
+from .common import cut, stored, top_rows
+from .graphs import LEVELS, bounded_closure
+from .retrieval import best_pairs
 
 
 def eligible_pairs(pairs: DataFrame) -> DataFrame:
@@ -43,6 +46,40 @@ def retrieve(pairs: DataFrame, needs: DataFrame, k: int, threshold: float) -> Da
     return hits.join(near, ["query_id", "chunk_id"], "left").select("query_id", F.col("_rank").alias("rank"), "chunk_id", "similarity", F.coalesce("neighbours", none).alias("neighbours"))
 
 
+def retrieve_among(queries: DataFrame, chunks: DataFrame, needs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """As ``retrieve``, of queries (query_id, q, wants) and chunks (chunk_id, v, scope, hints, version), without a row a pair.
+
+    Filters are tried once for each kind of chunk and of query, and mask the products of blocks. Required neighbours are
+    looked for from the hits alone.
+    """
+    wants, marks = ["want_scope", "want_hints", "want_versions"], ["scope", "hints", "version"]
+    kinds = stored(chunks.select(F.struct(*marks).alias("mark")).distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    asked = queries.select(F.struct(*wants).alias("want")).distinct()
+    any_chunk = {"want_chunks": F.array().cast("array<long>"), "chunk_id": F.lit(None).cast("long")}
+    tried = eligible_pairs(asked.crossJoin(kinds).select("want", "_kind", *(F.col(f"want.{c}").alias(c) for c in wants), *(F.col(f"mark.{c}").alias(c) for c in marks)).withColumns(any_chunk))
+    may = stored(tried.groupBy("want").agg(F.collect_list("_kind").alias("_fits")))
+    own = queries.withColumn("w", F.struct(*wants)).join(may, F.col("w").eqNullSafe(F.col("want"))).select("query_id", "q", "_fits", F.col("want_chunks").alias("_only"))
+    told = chunks.withColumn("m", F.struct(*marks)).join(kinds, F.col("m").eqNullSafe(F.col("mark"))).select("chunk_id", "v", "version", "_kind")
+    found = best_pairs(own, told, k, threshold, fits=True).where(F.col("similarity") >= threshold)
+    hits = cut(top_rows(found, ["query_id"], [F.desc("similarity"), F.col("chunk_id")], k))
+    filters = stored(own.join(hits.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "_fits", "_only"))
+    edges = stored(needs.select("src", F.col("dst").alias("chunk_id")).distinct().join(told.select("chunk_id", "version", "_kind"), "chunk_id").withColumnRenamed("chunk_id", "dst"))
+    keys = ["query_id", "root", "version", "node"]
+    levels = [cut(hits.select("query_id", F.col("chunk_id").alias("root"), "version", F.col("chunk_id").alias("node")).distinct())]
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(edges.withColumnRenamed("src", "node").hint("merge"), ["node", "version"]).select("query_id", "root", "version", F.col("dst").alias("node"), "_kind")
+        open_to = F.array_contains("_fits", F.col("_kind")) & ((F.size("_only") == 0) | F.array_contains("_only", F.col("node")))
+        new = step.join(filters, "query_id").where(open_to).select(*keys).distinct()
+        levels.append(cut(new.join(reduce(DataFrame.union, levels).hint("merge"), keys, "left_anti").select(*keys)))
+        if len(levels) == LEVELS and not levels[-1].isEmpty():
+            levels = [cut(reduce(DataFrame.union, levels[:-1])), levels[-1]]
+    reached = reduce(DataFrame.union, levels).where("root <> node")
+    near = reached.groupBy("query_id", F.col("root").alias("chunk_id"), "version").agg(F.array_sort(F.collect_set("node")).alias("neighbours"))
+    near = near.groupBy("query_id", "chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("neighbours")))).alias("neighbours"))
+    none = F.array().cast("array<long>")
+    return hits.join(near, ["query_id", "chunk_id"], "left").select("query_id", F.col("_rank").alias("rank"), "chunk_id", "similarity", F.coalesce("neighbours", none).alias("neighbours"))
+
+
 def parameter_issue(k: Column, threshold: Column, n_filters: Column, n_chunks: Column) -> Column:
     """What is wrong with a request, the first that applies, or none: k is 3, 5 or 8, the threshold within -1 and 1,
     at most 32 filter values and 128 chunk ids."""

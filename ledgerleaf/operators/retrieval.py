@@ -104,20 +104,22 @@ def _blocks(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame
     return copied(deal(queries, "query_id", n_q, "_q"), n_c, "_c"), copied(deal(chunks, "chunk_id", n_c, "_c"), n_q, "_q")
 
 
-def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = -1.0, others: bool = False) -> DataFrame:
+def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = -1.0, others: bool = False, fits: bool = False) -> DataFrame:
     """Of the rows of ``scored_pairs`` (without ``on``) those among which are each query's k best at or above the threshold.
 
     Blocks of both sides are multiplied as matrices, and the pairs that may be among a block's k best are then summed in
     order of the components, so that similarities are those of ``scored_pairs`` to the last bit. With ``others`` a query
-    doesn't meet the chunk of its own id.
+    doesn't meet the chunk of its own id. With ``fits`` queries have the chunk kinds that they may meet (_fits) and, unless
+    it is empty, the ids of the only chunks they may meet (_only); chunks have a _kind. These columns aren't in the result.
     """
-    q_names, c_names = ([n for n in df.columns if n != v] for df, v in ((queries, "q"), (chunks, "v")))
+    q_names, c_names = ([n for n in df.columns if n not in (v, "_fits", "_only", "_kind")] for df, v in ((queries, "q"), (chunks, "v")))
     schema = StructType([*(queries.schema[n] for n in q_names), *(chunks.schema[n] for n in c_names), StructField("similarity", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q, c, qi, ci = _Vectors(left["q"]), _Vectors(right["v"]), [], []
         q_id, c_id = (t[n].to_numpy() for t, n in ((left, "query_id"), (right, "chunk_id")))
+        kinds, kind = np.unique(right["_kind"].to_numpy(), return_inverse=True) if fits else (None, None)
         for start in range(0, q.n if c.n else 0, TILE):
             tile = np.arange(start, min(start + TILE, q.n))
             s, null = _scores(q, c, tile, np.empty((len(tile), c.n)))
@@ -125,6 +127,10 @@ def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float =
             s[null] = -np.inf
             if others:
                 s[q_id[tile][:, None] == c_id[None, :]] = -np.inf
+            if fits:
+                for i, (may, only) in enumerate(zip(*(left[n].slice(start, len(tile)).to_pylist() for n in ("_fits", "_only")), strict=True)):
+                    out = ~np.isin(kinds, np.array(may or [], np.int64))[kind]
+                    s[i, out if not only else out | ~np.isin(c_id, np.array([x for x in only if x is not None], np.int64))] = -np.inf
             least = np.partition(s, c.n - k, axis=1)[:, c.n - k] if c.n > k else np.full(len(tile), -np.inf)
             at = np.nonzero((s >= np.maximum(least, threshold)[:, None] - NEAR) & (s > -np.inf))
             qi.append(tile[at[0]])

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.vectors import doubles
-from ledgerleaf.operators import context, retrieval
+from ledgerleaf.operators import context
 
 from .base import query, table
 
@@ -40,7 +40,7 @@ def v7_neighbour_retrieval(spark: SparkSession, d: str) -> DataFrame:
     )
     edge = lambda when, step: own.where(when).select(F.col("vec_id").alias("src"), (F.col("vec_id") + step).alias("dst"))
     needs = edge("vec_id % 3 = 0", 6).union(edge("vec_id % 7 = 0", 1)).union(edge("vec_id % 4 = 0", -12))
-    found = context.retrieve(retrieval.scored_pairs(queries, chunks), needs, 5, 0.1)
+    found = context.retrieve_among(queries, chunks, needs, 5, 0.1)
     return found.select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"), F.array_join("neighbours", ",").alias("neighbours"))
 
 
