@@ -148,7 +148,7 @@ def _plan_courses(spark: SparkSession, d: str) -> DataFrame:
     term = F.expr("dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
     terms = orders.withColumn("term", term.cast("long"))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    rows = lines.join(terms, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.join(terms.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     units = F.when(F.col("l_partkey") % 40 != 0, F.col("l_quantity"))
     return rows.groupBy(F.col("o_custkey").alias("plan_id"), "term", F.col("l_partkey").alias("course")).agg(F.max(units).alias("units"))
 

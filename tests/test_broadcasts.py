@@ -16,9 +16,15 @@ def broadcasts(spark, run):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     plans = [x.physicalPlanDescription() for k, x in listed().items() if k not in before]
     assert plans
-    return [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    return [line for plan in plans for line in plan.splitlines() if line.startswith("(") and ("BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line)]
 
 
 @pytest.mark.parametrize("name", ["g4_rule_outcomes", "g14_outcome_coverage", "g16_missing_facts"])
 def test_rules_send_no_side_to_the_driver(spark, name):
     assert broadcasts(spark, lambda: registry.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()) == []
+
+
+@pytest.mark.parametrize("name", ["p3_plan_check"])
+def test_plans_send_no_side_to_the_driver(spark, name):
+    joins = broadcasts(spark, lambda: registry.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save())
+    assert len(joins) == 0
